@@ -1,6 +1,6 @@
 """All queries, by part."""
 
-from verification import q_ingest, q_history  # noqa: F401
+from verification import q_errors, q_history, q_ingest  # noqa: F401
 from verification.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
