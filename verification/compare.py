@@ -19,11 +19,11 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     for c in out.columns:
         column = out[c]
         if pd.api.types.is_bool_dtype(column):
-            column = column.astype(str)
+            column = column.astype(object).map(lambda x: "NULL" if pd.isna(x) else str(bool(x)))
         elif pd.api.types.is_numeric_dtype(column):
             column = column.astype("float64").map(lambda x: "NULL" if pd.isna(x) else repr(float(x) + 0.0))
         else:
-            column = column.map(lambda x: "NULL" if x is None or x is pd.NaT or x != x else str(x)[:19].replace(" 00:00:00", "") if hasattr(x, "year") else str(x))
+            column = column.map(lambda x: "NULL" if x is None or x is pd.NaT or x is pd.NA or x != x else str(x)[:19].replace(" 00:00:00", "") if hasattr(x, "year") else str(x))
         out[c] = column
     return out.sort_values(list(out.columns)).reset_index(drop=True)
 
