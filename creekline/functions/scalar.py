@@ -34,10 +34,14 @@ def finite_or_null(value: Column) -> Column:
 def to_number(text: Column) -> Column:
     """Plain decimal text to a finite double, NULL otherwise.
 
-    The pattern comes first because a bare cast also takes '1.0d', '2f' and 'inf'.
+    The pattern comes first because a bare cast also takes '1.0d', '2f' and 'inf'. Nearly all
+    cells match the short pattern, whose values are finite, so each is matched and cast once.
     """
     clean = strip(text)
-    return finite_or_null(F.when(clean.rlike(fixed.NUMBER_PATTERN), clean.try_cast("double")))
+    number = clean.try_cast("double")
+    return F.when(clean.rlike(fixed.SHORT_NUMBER_PATTERN), number).when(
+        clean.rlike(fixed.NUMBER_PATTERN), finite_or_null(number)
+    )
 
 
 def to_sample_time(text: Column) -> Column:

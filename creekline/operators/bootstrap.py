@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from creekline.sources.sinks import staged
+
 REPLICATES = 1000
 SEED = 42
 DRAWS_PER_HASH = 4
@@ -53,13 +55,16 @@ def cluster_bootstrap(
     """
     keys = list(keys)
     gains = rows.groupBy(*keys, "site").agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("n"))
-    sites = site_slots(gains, keys)
+    # Staged: one small row per site. Its file size lets the join below be broadcast when it fits.
+    sites = staged(site_slots(gains, keys), "sites")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks = -(-replicates // DRAWS_PER_HASH)
     text = F.md5(F.concat_ws(":", F.lit(seed), F.col("_block"), F.col("_place")))
     parts = F.array(*[F.substring("_hash", 8 * i + 1, 8) for i in range(DRAWS_PER_HASH)])
     # Every site row makes the draws of one slot; no row holds more than one block list.
     draws = (
-        sites.select(*keys, F.col("slot").alias("_place"), "sites", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+        sites.repartition(cores, *keys, "slot")
+        .select(*keys, F.col("slot").alias("_place"), "sites", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
         .withColumn("_hash", text)
         .select(*keys, "sites", "_block", F.posexplode(parts).alias("_part", "_digits"))
         .withColumn("replicate", F.col("_block") * DRAWS_PER_HASH + F.col("_part"))
@@ -77,7 +82,7 @@ def cluster_bootstrap(
     interval = estimates.groupBy(*keys).agg(
         F.percentile("estimate", F.array(F.lit(0.025), F.lit(0.975))).alias("_interval")
     )
-    means = gains.groupBy(*keys).agg(
+    means = sites.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("sites"), (F.sum("gain") / F.sum("n")).alias("mean_gain")
     )
     return means.join(interval, keys).select(

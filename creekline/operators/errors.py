@@ -12,7 +12,9 @@ from creekline.functions.scalar import (
     divide, event_group, history_age_bucket, percent_gain, season,
 )
 from creekline.functions.specs import TargetSpec, inverse, spec_value, transform
-from creekline.operators.ranking import exact_quantiles, ranking_metrics
+from creekline.operators.ranking import (
+    exact_quantiles, ranking_aggregates, ranking_columns, score_ranks,
+)
 
 OUTSIDE = "outside_training_5th_95th_percentiles"
 WITHIN = "within_training_5th_95th_percentiles"
@@ -188,25 +190,31 @@ def v1_regression_metrics(scored: DataFrame, keys: Sequence[str], prediction: st
 def classification_metrics(
     scored: DataFrame, keys: Sequence[str], probability: str, label: str, cutoff: Column
 ) -> DataFrame:
-    """Event metrics at ``p >= cutoff``; here undefined precision and recall are 0."""
-    y = F.col(label).cast("bigint")
-    alert = (F.col(probability) >= cutoff).cast("bigint")
-    counts = scored.groupBy(*keys).agg(
-        F.avg((F.col(probability) - y) * (F.col(probability) - y)).alias("Brier"),
-        F.avg(y).alias("prevalence"),
-        F.sum(y).alias("events"),
-        F.sum(y * alert).alias("caught"),
-        F.sum(y * (1 - alert)).alias("missed"),
-        F.sum((1 - y) * alert).alias("false_alerts"),
-        F.sum(alert).alias("alerts"),
-        F.max(cutoff).alias("alert_cutoff"),
+    """Event metrics at ``p >= cutoff`` with AUC and average precision, from one table of score counts.
+
+    Here undefined precision and recall are 0. ``cutoff`` is one value per group.
+    """
+    groups = [*keys, "alert_cutoff"]
+    running = score_ranks(scored.withColumn("alert_cutoff", cutoff), groups, probability, label)
+    p, pos, neg = F.col(probability), F.col("pos"), F.col("neg")
+    alert = (p >= F.col("alert_cutoff")).cast("bigint")
+    counts = running.groupBy(*groups).agg(
+        F.sum(pos * (p - 1) * (p - 1) + neg * p * p).alias("_squares"),
+        F.sum(pos).alias("events"),
+        F.sum(pos + neg).alias("_rows"),
+        F.sum(pos * alert).alias("caught"),
+        F.sum(pos * (1 - alert)).alias("missed"),
+        F.sum(neg * alert).alias("false_alerts"),
+        F.sum((pos + neg) * alert).alias("alerts"),
+        *ranking_aggregates(),
     )
-    rates = counts.select(
-        "*",
+    return counts.select(
+        *groups, "events", "caught", "missed", "false_alerts", "alerts", *ranking_columns(),
+        divide(F.col("_squares"), F.col("_rows")).alias("Brier"),
+        divide(F.col("events"), F.col("_rows")).alias("prevalence"),
         F.coalesce(divide(F.col("caught"), F.col("alerts")), F.lit(0.0)).alias("precision"),
         F.coalesce(divide(F.col("caught"), F.col("events")), F.lit(0.0)).alias("recall"),
     )
-    return rates.join(ranking_metrics(scored, keys, probability, label), list(keys))
 
 
 def risk_label(value: Column, lower: Column, upper: Column) -> Column:

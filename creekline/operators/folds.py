@@ -14,6 +14,7 @@ from creekline.operators.bootstrap import cluster_bootstrap
 from creekline.operators.errors import evidence_status, risk_label, tail_thresholds
 from creekline.operators.ranking import exact_quantiles
 from creekline.operators.scoring import baseline_forecast
+from creekline.sources.sinks import staged
 
 FOLD = ["target", "fold"]
 
@@ -171,9 +172,10 @@ def baseline_evaluation(
 ) -> DataFrame:
     """Rolling evaluation with baselines only: choose the best on validation, judge it on test
     against the last observation."""
-    folded = fold_rows(rows, years)
+    needed = ["site", "target", "date", "actual", "last_value", "history_median", "seasonal_site"]
+    folded = fold_rows(rows.select(*needed), years)
     supported = fold_support(folded).filter("supported").select(*FOLD)
-    folded = folded.join(supported, FOLD, "left_semi")
+    folded = staged(folded.join(supported, FOLD, "left_semi"), "folds")
     validation = baseline_errors(folded, fold_medians(folded, specs, ["train"]), "validation", specs)
     chosen = select_model(validation).withColumn("selected_baseline", F.lit("last_observation"))
     medians = fold_medians(folded, specs, ["train", "validation"])

@@ -180,25 +180,34 @@ def score_counts(df: DataFrame, keys: Sequence[str], score: str, label: str) ->
     )
 
 
-def ranking_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """``AUC`` (NULL with one class) and ``average_precision`` (NULL without positives)."""
-    running = running_totals(score_counts(df, keys, score, label), keys, score, ["pos", "neg"])
+def score_ranks(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """Positives and negatives at and below every distinct score."""
+    return running_totals(score_counts(df, keys, score, label), keys, score, ["pos", "neg"])
+
+
+def ranking_aggregates() -> list[Column]:
+    """Sums over ``score_ranks`` rows that ``ranking_columns`` turns into the two metrics."""
     above_pos = F.col("total_pos") - F.col("below_pos")
     above_all = above_pos + F.col("total_neg") - F.col("below_neg")
-    return (
-        running.groupBy(*keys)
-        .agg(
-            F.max("total_pos").alias("_p"),
-            F.max("total_neg").alias("_n"),
-            F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0))).alias("_wins"),
-            F.sum(F.col("pos") * F.try_divide(above_pos.cast("double"), above_all.cast("double"))).alias("_area"),
-        )
-        .select(
-            *keys,
-            F.try_divide(F.col("_wins"), F.col("_p").cast("double") * F.col("_n")).alias("AUC"),
-            F.try_divide(F.col("_area"), F.col("_p").cast("double")).alias("average_precision"),
-        )
-    )
+    return [
+        F.max("total_pos").alias("_p"),
+        F.max("total_neg").alias("_n"),
+        F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0))).alias("_wins"),
+        F.sum(F.col("pos") * F.try_divide(above_pos.cast("double"), above_all.cast("double"))).alias("_area"),
+    ]
+
+
+def ranking_columns() -> list[Column]:
+    return [
+        F.try_divide(F.col("_wins"), F.col("_p").cast("double") * F.col("_n")).alias("AUC"),
+        F.try_divide(F.col("_area"), F.col("_p").cast("double")).alias("average_precision"),
+    ]
+
+
+def ranking_metrics(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """``AUC`` (NULL with one class) and ``average_precision`` (NULL without positives)."""
+    ranks = score_ranks(df, keys, score, label)
+    return ranks.groupBy(*keys).agg(*ranking_aggregates()).select(*keys, *ranking_columns())
 
 
 def recall_cutoff(df: DataFrame, keys: Sequence[str], score: str, label: str, recall: float) -> DataFrame:

@@ -58,12 +58,25 @@ def observation_flags(
     checked: DataFrame,
     method_target: str = "turbidity_reported",
 ) -> DataFrame:
-    """All flags per prediction. A missing formula check does not confirm an outcome."""
-    out = flag_membership(predictions, ambiguous_sites, ["site"], "ambiguous_site_label")
-    out = flag_membership(out, protocol_review, PREDICTION_KEY, "formula_protocol_review")
-    out = flag_membership(out, any_difference, PREDICTION_KEY, "any_formula_difference")
+    """All flags per prediction. A missing formula check does not confirm an outcome.
+
+    The three formula flags share a key, so they are combined first and joined once.
+    """
+    tables = {
+        "formula_protocol_review": protocol_review,
+        "any_formula_difference": any_difference,
+        "formula_checked": checked,
+    }
+    marks = None
+    for name, keys in tables.items():
+        part = keys.select(*PREDICTION_KEY, *[F.lit(n == name).alias(n) for n in tables])
+        marks = part if marks is None else marks.unionByName(part)
+    marks = marks.groupBy(*PREDICTION_KEY).agg(*[F.max(n).alias(n) for n in tables])
+    out = predictions.join(marks, PREDICTION_KEY, "left").withColumns(
+        {n: F.coalesce(F.col(n), F.lit(False)) for n in tables}
+    )
+    out = flag_membership(out, ambiguous_sites, ["site"], "ambiguous_site_label")
     out = flag_membership(out, unknown_method, ["site", "date"], "_unknown_method")
-    out = flag_membership(out, checked, PREDICTION_KEY, "formula_checked")
     flag = (F.col("target") == method_target) & F.col("_unknown_method")
     return out.withColumn("reported_turbidity_nonmeter_or_missing_method", flag).drop("_unknown_method")
 
