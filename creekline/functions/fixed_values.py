@@ -51,7 +51,7 @@ SAMPLE_TIME_PATTERN = (
     r"\A[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}\.[0-9]{1,6}\z"
 )
 # The short form cannot overflow a double; the full one can.
-SHORT_NUMBER_PATTERN = r"\A[+-]?([0-9]{1,200}\.?[0-9]{0,200}|\.[0-9]{1,200})([eE][+-]?[0-9]{1,2})?\z"
+SHORT_NUMBER_PATTERN = r"\A[+-]?([0-9]{1,100}(\.[0-9]{0,100})?|\.[0-9]{1,100})([eE][+-]?[0-9]{1,2})?\z"
 NUMBER_PATTERN = r"\A[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
 
 # Survey columns.
