@@ -44,22 +44,26 @@ def grouped_median(
     return table.join(hot, keys, "left_anti").groupBy(*keys).agg(*usual).unionByName(ranked)
 
 
-def collapse_replicates(measurements: DataFrame, hot_values: int = HOT_VALUES) -> DataFrame:
+def collapse_replicates(
+    measurements: DataFrame, hot_values: int = HOT_VALUES, names: bool = True
+) -> DataFrame:
     """Median value, first waterbody in source order and replicate count per site, date, target.
 
     Input: site, date, target, value, waterbody, csv_line. The first aggregation is keyed by
     the value too, so a site holding a third of all rows is combined map-side and spread
     over many tasks. Afterwards a series has at most one row per calendar day, which bounds
-    every later window.
+    every later window. Features need no waterbody: ``names=False`` leaves it out and keeps
+    the first aggregation a hash aggregation on numbers.
     """
-    per_value = measurements.groupBy(*UNIT, "value").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.struct("csv_line", "waterbody")).alias("_first"),
-    )
-    extra = [F.min("_first").alias("_first"), F.sum("_n").alias("replicate_rows")]
-    return grouped_median(per_value, UNIT, "value", "_n", extra, hot_values).select(
-        *UNIT, F.col("median").alias("value"), F.col("_first.waterbody").alias("waterbody"), "replicate_rows"
-    )
+    count = F.count(F.lit(1)).alias("_n")
+    first = [F.min(F.struct("csv_line", "waterbody")).alias("_first")] if names else []
+    per_value = measurements.groupBy(*UNIT, "value").agg(count, *first)
+    extra = [F.sum("_n").alias("replicate_rows")]
+    if names:
+        extra.append(F.min("_first").alias("_first"))
+    collapsed = grouped_median(per_value, UNIT, "value", "_n", extra, hot_values)
+    waterbody = [F.col("_first.waterbody").alias("waterbody")] if names else []
+    return collapsed.select(*UNIT, F.col("median").alias("value"), *waterbody, "replicate_rows")
 
 
 def v1_collapse_site_days(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:

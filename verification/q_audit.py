@@ -203,8 +203,8 @@ add("d21_scenario_bootstrap", gains, sql("select * from boot", "mean_gain lower_
 def old_and_new(spark, sf):
     """The same aggregates before and after a source revision driven by line status."""
     rows = t.measurements(spark, sf)
-    old = collapse_replicates(rows.filter("waterbody = 'F' or value > 5"))
-    new = collapse_replicates(rows.filter("waterbody = 'O' or value < 45"))
+    old = collapse_replicates(rows.filter("waterbody = 'F' or value > 5"), names=False)
+    new = collapse_replicates(rows.filter("waterbody = 'O' or value < 45"), names=False)
     return old, new
 
 

@@ -20,7 +20,7 @@ DOUBLES = "last_value last3_mean history_median seasonal_site last_change month_
 
 
 def features(spark, sf, cross=False):
-    return H.history_features(t.observations(spark, sf), t.SPECS, cross=cross)
+    return H.history_features(t.observations(spark, sf, names=False), t.SPECS, cross=cross)
 
 
 def pick(*columns):
@@ -69,7 +69,7 @@ def probes(spark, sf):
 
 
 def c2(spark, sf):
-    return H.history_features(t.observations(spark, sf), t.SPECS, probes=probes(spark, sf), cross=False).drop("actual", "month_sin", "month_cos")
+    return H.history_features(t.observations(spark, sf, names=False), t.SPECS, probes=probes(spark, sf), cross=False).drop("actual", "month_sin", "month_cos")
 
 
 PROBE = {

@@ -35,7 +35,7 @@ def registry(spark):
 
 
 def grid(spark, sf):
-    return G.predict_grid(t.observations(spark, sf), t.SPECS, t.LIMITS, registry(spark), t.VISIT)
+    return G.predict_grid(t.observations(spark, sf, names=False), t.SPECS, t.LIMITS, registry(spark), t.VISIT)
 
 
 def _base(name):
@@ -147,7 +147,7 @@ def added(spark, sf):
 
 
 def i21(spark, sf):
-    return G.what_if(staged(t.observations(spark, sf), "obs"), added(spark, sf), t.SPECS, t.LIMITS, registry(spark), t.VISIT)
+    return G.what_if(staged(t.observations(spark, sf, names=False), "obs"), added(spark, sf), t.SPECS, t.LIMITS, registry(spark), t.VISIT)
 
 
 WHATIF = {"add_n": "select cast(s_suppkey as varchar) as site, date '2001-11-05' as date, 'N' as target, cast(least(greatest(floor(s_acctbal/250),0),50) as double) as value from supplier",

@@ -65,8 +65,8 @@ def measurements(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf: str) -> DataFrame:
-    return collapse_replicates(measurements(spark, sf))
+def observations(spark: SparkSession, sf: str, names: bool = True) -> DataFrame:
+    return collapse_replicates(measurements(spark, sf), names=names)
 
 
 def event_observations(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,11 +78,11 @@ def event_observations(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_type").alias("waterbody"),
         F.col("event_id").alias("csv_line"),
     )
-    return collapse_replicates(rows)
+    return collapse_replicates(rows, names=False)
 
 
 def eligible_rows(spark: SparkSession, sf: str, cross: bool = False) -> DataFrame:
-    return training_rows(observations(spark, sf), SPECS, cross=cross)
+    return training_rows(observations(spark, sf, names=False), SPECS, cross=cross)
 
 
 def predictions_from(rows: DataFrame) -> DataFrame:
