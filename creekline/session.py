@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -23,6 +24,11 @@ def get_session(app_name: str = "creekline", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="creekline-")
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder for intermediate tables, under the shared checkpoint folder.
 
@@ -33,5 +39,5 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="creekline-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -11,7 +11,7 @@ from creekline.sources import survey
 
 SPECS = default_specs()
 HEAD = ["globalid", "gww_site_code_double", "CreationDate", "sample_date_time", "watershed", "waterbody", "Average_e_coli", "Average_coliform", ""]
-GOOD = ["a", "5303305", "4/13/2026 22:00:00.000", "1/1/2024 0:00:00.000", "test", "Test creek"]
+GOOD = ["a", "7001234", "4/13/2026 22:00:00.000", "1/1/2024 0:00:00.000", "test", "Mill brook"]
 
 
 def write_csv(path, rows):
@@ -26,11 +26,11 @@ def landed(spark, tmp_path_factory):
     rows = [
         [*GOOD, "4", "12", ""],
         [*GOOD[:5], "Second\nline", "NA", "16", ""],
-        ["b", "x5303305", "moved", "2/30/2024 0:00:00.000", "t", "w", "4", "5", "5303305"],
-        ["c", "5303305", GOOD[2], "1/2/2030 0:00:00.000", "t", "w", "4", "5", ""],
-        ["d", "530330", GOOD[2], GOOD[3], "t", "w", "4", "5", ""],
-        ["e", "5303306", GOOD[2], "1/3/2024 1:02:03.5", "t", "w", "1.0d", "inf", ""],
-        ["f", "5303306", GOOD[2], "1/4/2024 0:00:00.000", "t", "w", "-1", " 7 ", ""],
+        ["b", "x7001234", "moved", "2/30/2024 0:00:00.000", "t", "w", "4", "5", "7001234"],
+        ["c", "7001234", GOOD[2], "1/2/2030 0:00:00.000", "t", "w", "4", "5", ""],
+        ["d", "700123", GOOD[2], GOOD[3], "t", "w", "4", "5", ""],
+        ["e", "7001235", GOOD[2], "1/3/2024 1:02:03.5", "t", "w", "1.0d", "inf", ""],
+        ["f", "7001235", GOOD[2], "1/4/2024 0:00:00.000", "t", "w", "-1", " 7 ", ""],
     ]
     path = write_csv(tmp_path_factory.mktemp("csv") / "x", rows)
     return survey.land_survey(spark, path, "bacteria").cache()
@@ -62,13 +62,13 @@ def test_cells_and_replicates(landed):
         (7, "ecoli", "1.0d"), (7, "other_coliform", "inf"), (8, "ecoli", "-1"),
     }
     rows = {(r["site"], str(r["date"]), r["target"]): r for r in C.collapse_replicates(valid).collect()}
-    row = rows["5303305", "2024-01-01", "other_coliform"]
-    assert (row["value"], row["replicate_rows"], row["waterbody"]) == (14.0, 2, "Test creek")
-    assert rows["5303305", "2024-01-01", "ecoli"]["replicate_rows"] == 1
+    row = rows["7001234", "2024-01-01", "other_coliform"]
+    assert (row["value"], row["replicate_rows"], row["waterbody"]) == (14.0, 2, "Mill brook")
+    assert rows["7001234", "2024-01-01", "ecoli"]["replicate_rows"] == 1
 
 
 def test_site_with_trailing_newline_is_invalid(spark):
-    rows = spark.createDataFrame([("5303305\n",), ("0012345",), ("123456789012",), ("1234567890123",), (None,)], "s string")
+    rows = spark.createDataFrame([("7001234\n",), ("0012345",), ("123456789012",), ("1234567890123",), (None,)], "s string")
     assert [r[0] for r in rows.select(Q.bad_site(F.col("s"))).collect()] == [True, False, False, True, True]
 
 

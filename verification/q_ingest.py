@@ -49,15 +49,18 @@ add("a1_read_survey_csv", a1, sql(
 
 
 def a2(spark, sf):
-    raw = t.load(spark, sf, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("globalid"))
-    one = raw.repartitionByRange(1, "o_orderkey").sortWithinPartitions("o_orderkey").drop("o_orderkey")
-    path = csv_folder(spark, one, "a2")
+    """One export file per month of orders, each numbered on its own."""
+    raw = t.load(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("globalid"), F.date_format("o_orderdate", "yyyyMM").alias("month")
+    )
+    path = scratch_dir(spark, "a2")
+    files = raw.repartition("month").sortWithinPartitions("month", "o_orderkey").drop("o_orderkey")
+    sinks.write_table(files, path, partition_by=["month"], fmt="csv")
     return SV.with_source_line(SV.read_survey_csv(spark, path, columns=["globalid"], multiline=False)).drop("_file")
 
 
-add("a2_with_source_line", a2, sql(
-    "select cast(o_orderkey as varchar) as globalid, row_number() over (order by o_orderkey) + 1 as csv_line from orders"
-))
+add("a2_with_source_line", a2, sql("""select cast(o_orderkey as varchar) as globalid,
+  row_number() over (partition by strftime(o_orderdate, '%Y%m') order by o_orderkey) + 1 as csv_line from orders"""))
 
 
 def a3(spark, sf):
