@@ -1,8 +1,8 @@
 """Weak supervision over quality rules, in DataFrame functions alone.
 
-Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates how
-often each rule is right when it votes and how many texts are good, without labels; the posterior
-probability that a text is good then takes the place of "all rules must pass".
+Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates, without
+labels, how often each rule casts each vote on good and on bad texts and how many texts are good; the
+posterior probability that a text is good then takes the place of "all rules must pass".
 
 Votes are grouped before anything is estimated: m rules give 3^m patterns at most, so a step of
 the estimation sums over a small table, whatever the corpus. Texts are read once; what the
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,9 +23,11 @@ from creekline.sources.sinks import staged
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
-#: Rounds of estimation, and the bounds that keep a rule better than chance and never certain.
-ROUNDS, LEAST, MOST = 25, 0.55, 0.98
+#: Rounds of estimation, the least evidence of a bad vote, bounds of the share of good texts, and where the evidence of a vote of -1, 0, 1 starts.
+ROUNDS = 25
+LEAST = 0.5
 PRIOR_LEAST, PRIOR_MOST = 0.5, 0.98
+START = (-5.0, 0.0, 0.3)
 
 
 def words_of(text: Column) -> Column:
@@ -88,32 +91,42 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0).cast("tinyint")
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, -1)
+    return (vote if good is None else vote.when(good, 1)).otherwise(0).cast("tinyint")
 
 
 def rules() -> dict[str, Column]:
-    """The rules' votes over the features; thresholds as usual for web text."""
+    """The rules' votes over the features. Rules about one kind of junk can only vote bad: that a
+    text has no symbols says little for it."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     length = F.col("word_chars") / n
     return {
         "v_length": _vote(F.col("n_words") < 10, F.col("n_words") >= 40),
         "v_word_length": _vote((length < 2) | (length > 15), length.between(3, 10)),
-        "v_symbols": _vote(F.col("n_symbols") > 0.1 * n, F.col("n_symbols") <= 0.02 * n),
-        "v_lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("_q_lines"), (F.col("_q_lines") > 1) & (F.col("n_dup_lines") <= 0.1 * F.col("_q_lines"))),
-        "v_repeats": _vote(F.col("n_repeat_words") > 0.15 * n, F.col("n_repeat_words") <= 0.05 * n),
-        "v_variety": _vote((F.col("_q_distinct") < 0.2 * n) & (n >= 30), F.col("_q_distinct") >= 0.3 * n),
-        "v_capitals": _vote(F.col("_q_capitals") > 0.4 * F.col("word_chars"), F.col("_q_capitals") <= 0.15 * F.col("word_chars")),
-        "v_shouts": _vote(F.col("_q_shouts") > 0.2 * n, F.col("_q_shouts") <= 0.05 * n),
+        "v_symbols": _vote(F.col("n_symbols") > 0.2 * n),
+        "v_lines": _vote(F.col("n_dup_lines") > 0.3 * F.col("_q_lines")),
+        "v_repeats": _vote(F.col("n_repeat_words") > 0.15 * n),
+        "v_variety": _vote((F.col("_q_distinct") < 0.2 * n) & n.between(30, 1000)),
+        "v_capitals": _vote((F.col("_q_capitals") > 0.4 * F.col("word_chars")) & (n >= 10)),
+        "v_shouts": _vote(F.col("_q_shouts") > 0.2 * n),
     }
 
 
-def posterior(names: Sequence[str], accuracy: dict[str, float], prior: float) -> Column:
-    """Probability of "good" from the votes: log-odds add up, an abstention adds none."""
-    odds = F.lit(math.log(prior / (1 - prior)))
-    for name in names:
-        odds = odds + F.col(name) * F.lit(math.log(accuracy[name] / (1 - accuracy[name])))
-    return 1 / (1 + F.exp(-odds))
+@dataclass(frozen=True)
+class Estimate:
+    """``evidence[rule]``: log-odds of "good" that a vote of -1, 0, 1 adds; ``odds``: those before any vote."""
+
+    evidence: dict[str, list[float]]
+    odds: float
+
+
+def posterior(found: Estimate) -> Column:
+    """Probability of "good" from the votes, each by what it has turned out to be worth."""
+    total = F.lit(found.odds)
+    for name, (bad, none, good) in found.evidence.items():
+        total = total + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, good).otherwise(none)
+    return 1 / (1 + F.exp(-total))
 
 
 def _let(value: Column, use) -> Column:
@@ -126,48 +139,61 @@ def _total(array: Column, each) -> Column:
 
 
 def _round(patterns: Column, state: Column, rules_: int) -> Column:
-    """One step: posterior of every pattern, then accuracies and prior from its sums."""
+    """One step: posterior of every pattern, then each vote's rate among good and among bad texts.
 
-    def odds(p: Column) -> Column:
-        return F.log(p / (1 - p))
+    An abstention adds no evidence, and no vote counts for its contrary: rules are better than chance,
+    which is what tells the two classes apart.
+    """
 
-    def maximise(judged: Column) -> Column:
-        def accuracy(j: Column) -> Column:
-            right = _total(judged, lambda x: x["n"] * F.when(F.get(x["v"], j) == 1, x["g"]).when(F.get(x["v"], j) == -1, 1 - x["g"]).otherwise(0.0))
-            cast = _total(judged, lambda x: x["n"] * F.abs(F.get(x["v"], j)))
-            # Pseudo-votes keep a rule that never votes where it started.
-            return F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (right + 4.0) / (cast + 5.0)))
-
-        good, everything = _total(judged, lambda x: x["n"] * x["g"]), _total(judged, lambda x: x["n"] * 1.0)
-        return F.struct(
-            F.transform(F.sequence(F.lit(0), F.lit(rules_ - 1)), accuracy).alias("a"),
-            F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), (good + 4.0) / (everything + 5.0))).alias("p"),
-        )
-
-    def judge(weights: Column) -> Column:
+    def judge() -> Column:
         return F.transform(patterns, lambda x: F.struct(
             x["n"].alias("n"), x["v"].alias("v"),
-            (1 / (1 + F.exp(-(odds(state["p"]) + F.aggregate(F.zip_with(x["v"], weights, lambda v, w: v * w), F.lit(0.0), lambda a, b: a + b))))).alias("g"),
+            (1 / (1 + F.exp(-F.aggregate(
+                F.zip_with(x["v"], state["e"], lambda v, e: F.get(e, v + 1)), state["o"], lambda a, b: a + b
+            )))).alias("g"),
         ))
 
-    return _let(_let(F.transform(state["a"], odds), judge), maximise)
+    def maximise(judged: Column) -> Column:
+        good = _total(judged, lambda x: x["n"] * x["g"])
+        bad = _total(judged, lambda x: x["n"] * (1 - x["g"]))
 
+        def worth(sums: Column) -> Column:
+            def rate(j: Column, vote: Column) -> Column:
+                cast = lambda side: _total(judged, lambda x: F.when(F.get(x["v"], j) == vote, x["n"] * side(x["g"])).otherwise(0.0))
+                # A pseudo-vote of each kind keeps votes that nobody cast at no evidence.
+                among_good = (cast(lambda g: g) + 1.0) / (sums["g"] + 3.0)
+                among_bad = (cast(lambda g: 1 - g) + 1.0) / (sums["b"] + 3.0)
+                return F.log(among_good) - F.log(among_bad)
 
-def estimate(votes: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> tuple[dict[str, float], float]:
-    """Accuracies and the share of good texts, by expectation-maximisation over vote patterns.
+            prior = F.greatest(F.lit(PRIOR_LEAST), F.least(F.lit(PRIOR_MOST), (sums["g"] + 1.0) / (sums["g"] + sums["b"] + 2.0)))
+            return F.struct(
+                F.transform(F.sequence(F.lit(0), F.lit(rules_ - 1)), lambda j: F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda v: F.when(v == 0, 0.0).when(v < 0, F.least(rate(j, v), F.lit(-LEAST))).otherwise(F.greatest(rate(j, v), F.lit(0.0))))).alias("e"),
+                F.log(prior / (1 - prior)).alias("o"),
+            )
+
+        return _let(F.struct(good.alias("g"), bad.alias("b")), worth)
+
+    return _let(judge(), maximise)
+
+
+def estimate(votes: DataFrame, names: Sequence[str], rounds: int = ROUNDS) -> Estimate:
+    """Each rule's accuracy among good and among bad texts, and the share of good ones, by
+    expectation-maximisation (both classes have a rate for each vote and rule).
 
     All rows of ``votes`` count; they are summed to at most 3^m patterns first, and all rounds run over
-    those in one expression. An empty table leaves the starting values.
+    those in one expression. An empty table leaves votes without evidence.
     """
     pattern = F.array(*[F.col(name).cast("int") for name in names])
     patterns = votes.groupBy(pattern.alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    start = F.struct(F.array_repeat(F.lit(0.8), len(names)).alias("a"), F.lit(0.8).alias("p"))
+    start = F.struct(
+        F.array_repeat(F.array(*[F.lit(x) for x in START]), len(names)).alias("e"), F.lit(math.log(4.0)).alias("o")
+    )
     found = (
         patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("_patterns"))
         .select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: _round(F.col("_patterns"), s, len(names))).alias("s"))
-        .select("s.a", "s.p").first()
+        .select("s.e", "s.o").first()
     )
-    return dict(zip(names, found["a"], strict=True)), found["p"]
+    return Estimate(dict(zip(names, found["e"], strict=True)), found["o"])
 
 
 def judge_quality(df: DataFrame, key: str, text: str, threshold: float = 0.5) -> DataFrame:
@@ -181,8 +207,8 @@ def judge_quality(df: DataFrame, key: str, text: str, threshold: float = 0.5) ->
     votes = rules()
     judged = with_text_features(rows, "_text").withColumns(votes).drop("_text", "_q_lines", "_q_distinct", "_q_shouts", "_q_capitals")
     table = staged(judged, "quality")
-    accuracy, prior = estimate(table, list(votes))
-    return table.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(list(votes), accuracy, prior)).select(
+    found = estimate(table, list(votes))
+    return table.withColumn("base_failed", base_failed()).withColumn("p_good", posterior(found)).select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"), "p_good", *votes,
     )
