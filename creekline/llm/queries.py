@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creekline.llm import mixing, packing, quality_rules, token_counts, toxicity, url_filters
+from creekline.llm import mixing, packing, quality_rules, simhash, token_counts, toxicity, url_filters
 from creekline.llm.common import read_columns
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents, "doc_id", "text", "source")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked_documents(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
     return packing.pack_documents(documents, "doc_id", "text", public_tokenizers.path(TOKENIZER))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op6_mixing": op6_mixing,
+    "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
 }
 
