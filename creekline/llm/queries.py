@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creekline.llm import mixing, packing, quality_rules, simhash, token_counts, toxicity, url_filters
+from creekline.llm import mixing, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filters
 from creekline.llm.common import read_columns
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read_columns(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return mixing.mix_sources(documents, "doc_id", "text", "source")
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
