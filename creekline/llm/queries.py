@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creekline.llm import mixing, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filters
+from creekline.llm import mixing, nearest, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filters
 from creekline.llm.common import read_columns
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents, "doc_id", "text", "source")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return nearest.nearest(vectors, "vec_id", "embedding", lambda id_: F.pmod(id_, F.lit(50)) == 0, 5)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.linked_documents(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
+    "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
 }
