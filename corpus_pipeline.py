@@ -9,6 +9,8 @@ from creekline.session import scratch_dir
 
 STAGES = [
     ("toxicity", pipeline.drop_toxic),
+    ("simhash_dedup", pipeline.drop_near_copies),
+    ("personal_data", pipeline.redact),
     ("mixing", pipeline.mix),
     ("packing", pipeline.pack),
 ]

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creekline.llm import mixing, packing, toxicity
+from creekline.llm import mixing, packing, personal_data, simhash, toxicity
 from creekline.llm.common import read_columns
 
 TOKENIZER = "word_bpe_49k.json"
@@ -23,6 +23,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.with_scores(docs, "text", machine, "_toxicity").filter(F.col("_toxicity") < 0.5).select(*docs.columns)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity of 0.8."""
+    return simhash.without_near_copies(docs, "doc_id", "text")
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind; ``n_chars`` follows the text."""
+    clean = personal_data.redact(docs, "text")
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return clean.select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.mixed_documents(docs, "doc_id", "text", "source")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creekline.llm import mixing, nearest, packing, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filters
+from creekline.llm import mixing, nearest, packing, personal_data, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filters
 from creekline.llm.common import read_columns
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,6 +69,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents, "doc_id", "text", public_tokenizers.path(TOKENIZER))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest": op7_nearest,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {}
