@@ -27,8 +27,13 @@ SLOTS, FACTORS = 1 << 18, 4
 #: Labelled rows that the machine is fitted on, at most (about; chosen by hash).
 FIT_ROWS = 40_000
 #: Shards, rounds of mixing, and passes of a shard over its rows in a round.
-SHARDS, ROUNDS, PASSES = 6, 4, 2
-STEP, DECAY, BATCH = 0.15, 2e-5, 64
+SHARDS, ROUNDS, PASSES = 4, 6, 4
+STEP, DECAY, BATCH = 0.3, 1e-5, 64
+#: Lengths of the beginnings of a word that are terms too, and what is stripped from a word's ends.
+BEGINNINGS, EDGES = (4, 5, 6), ".,;:!?\"'()[]|*#%&$"
+#: Labelled texts that a slot must occur in, and standard errors by which its share of toxic texts must
+#: differ from the other texts' share. All other slots would only teach single texts by heart.
+LEAST_TEXTS, LEAST_ERRORS = 4, 4.5
 #: Terms that a worker remembers the slot of.
 REMEMBERED = 300_000
 
@@ -45,20 +50,22 @@ class Machine:
         return Machine(-1.0, np.zeros(SLOTS, np.float32), start.normal(0, 0.02, (SLOTS, FACTORS)).astype(np.float32))
 
 
-def _term_slot(chunk: str) -> int:
-    term = chunk.strip(".,;:!?\"'()[]|*")
-    return zlib.crc32(term.encode()) % SLOTS if term else -1
+def _term_slots(chunk: str) -> tuple[int, ...]:
+    """Slots of a word and of its beginnings, as endings vary with grammar."""
+    term = chunk.strip(EDGES)
+    parts = {term, *(f"{term[:n]}-" for n in BEGINNINGS if len(term) > n)} if term else ()
+    return tuple(zlib.crc32(x.encode()) % SLOTS for x in parts)
 
 
 def term_cache() -> _Cache:
-    return _Cache(_term_slot, REMEMBERED)
+    return _Cache(_term_slots, REMEMBERED)
 
 
 def terms(text: str, cache: _Cache) -> np.ndarray:
-    """Distinct slots of the whole text's terms."""
-    found = set(map(cache.__getitem__, text.lower().split()))
-    found.discard(-1)
-    return np.fromiter(found, np.int32, len(found))
+    """Distinct slots of the whole text's terms, in order."""
+    found: set[int] = set()
+    found.update(*map(cache.__getitem__, set(text.lower().split())))
+    return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
 def _forward(machine: Machine, slots: np.ndarray, first: np.ndarray, owner: np.ndarray, scale: np.ndarray):
@@ -93,7 +100,13 @@ def train(machine: Machine, texts: list[np.ndarray], labels: np.ndarray, seed: i
     """A few passes of AdaGrad from ``machine`` over these rows."""
     weights, vectors, bias = machine.weights.copy(), machine.vectors.copy(), machine.bias
     moved_w, moved_v, moved_b = np.full(SLOTS, 1e-3, np.float32), np.full((SLOTS, FACTORS), 1e-3, np.float32), 1e-3
-    rows = np.array([i for i, x in enumerate(texts) if len(x)], np.int64)
+    # Texts without any slot move the bias alone: a share of them goes with every batch.
+    full = np.array([len(x) > 0 for x in texts], bool)
+    rows = np.flatnonzero(full)
+    bare, bare_toxic = int((~full).sum()), float(labels[~full].sum())
+    if not len(rows):
+        share = (float(labels.sum()) + 0.5) / (len(labels) + 1)
+        return Machine(float(np.log(share / (1 - share))), weights, vectors)
     order = np.random.default_rng(seed)
     for _ in range(PASSES):
         order.shuffle(rows)
@@ -110,17 +123,43 @@ def train(machine: Machine, texts: list[np.ndarray], labels: np.ndarray, seed: i
             step_v = np.stack([np.bincount(place, pull[:, k], len(seen)) for k in range(FACTORS)], 1).astype(np.float32) + DECAY * vectors[seen]
             moved_w[seen] += step_w**2
             moved_v[seen] += step_v**2
-            moved_b += float(error.sum()) ** 2
+            part = len(pick) / len(rows)
+            step_b = float(error.sum()) * len(pick) + part * (bare / (1 + np.exp(-bias)) - bare_toxic)
+            step_b /= len(pick) + part * bare
+            moved_b += step_b**2
             weights[seen] -= STEP * step_w / np.sqrt(moved_w[seen])
             vectors[seen] -= STEP * step_v / np.sqrt(moved_v[seen])
-            bias -= STEP * float(error.sum()) / moved_b**0.5
+            bias -= STEP * step_b / moved_b**0.5
     return Machine(bias, weights, vectors)
 
 
+def telling_slots(table: DataFrame, kinds: dict[int, int]) -> np.ndarray:
+    """Slots that tell the labels apart, sorted; every labelled row is counted, tasks add up their own first."""
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, SLOTS), np.int64)
+        for frame in frames:
+            for slots, label in zip(frame["_slots"], frame["_label"], strict=True):
+                sums[label][np.frombuffer(slots, np.int32)] += 1
+        seen = np.flatnonzero(sums.sum(0))
+        yield pd.DataFrame({"_slot": seen.astype(np.int32), "_clean": sums[0][seen], "_toxic": sums[1][seen]})
+
+    counts = table.mapInPandas(count, "_slot int, _clean bigint, _toxic bigint").groupBy("_slot").agg(
+        F.sum("_clean").alias("_clean"), F.sum("_toxic").alias("_toxic")
+    )
+    clean, toxic = F.lit(float(kinds[0])), F.lit(float(kinds[1]))
+    rate = (F.col("_clean") + F.col("_toxic")) / (clean + toxic)
+    error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-12)) * (1 / clean + 1 / toxic))
+    differs = F.abs(F.col("_toxic") / toxic - F.col("_clean") / clean) >= LEAST_ERRORS * error
+    kept = counts.filter((F.col("_clean") + F.col("_toxic") >= LEAST_TEXTS) & differs).select("_slot").collect()
+    return np.array(sorted(r["_slot"] for r in kept), np.int32)
+
+
 def _shard_pass(shared, turn: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = [np.frombuffer(x, np.int32) for x in frame["_slots"]]
-        done = train(shared.value, texts, frame["_label"].to_numpy(np.float32), turn)
+        machine, telling = shared.value
+        texts = [np.intersect1d(np.frombuffer(x, np.int32), telling, assume_unique=True) for x in frame["_slots"]]
+        done = train(machine, texts, frame["_label"].to_numpy(np.float32), turn)
         return pd.DataFrame({"n": [len(frame)], "bias": [done.bias], "weights": [done.weights.tobytes()], "vectors": [done.vectors.tobytes()]})
 
     return run
@@ -148,8 +187,12 @@ def fit(labelled: DataFrame, text: str, label: str) -> Machine:
     machine = Machine.fresh()
     if len(kinds) < 2:
         return machine
+    telling = telling_slots(table, kinds)
+    silent = np.ones(SLOTS, bool)
+    silent[telling] = False
+    machine.vectors[silent] = 0
     for turn in range(ROUNDS):
-        shared = labelled.sparkSession.sparkContext.broadcast(machine)
+        shared = labelled.sparkSession.sparkContext.broadcast((machine, telling))
 
         parts = table.groupBy("_shard").applyInPandas(_shard_pass(shared, turn), "n bigint, bias double, weights binary, vectors binary").collect()
         share = np.array([p["n"] for p in parts], float)
