@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import json
 import os
+import pathlib
 import re
+import shutil
+import tempfile
 import unicodedata
-from collections.abc import Callable, Iterable, Iterator
+import zipfile
+from collections.abc import Callable, Iterable
 
-import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows per Arrow batch. A batch of whole texts must fit a Python worker's memory.
@@ -19,23 +24,30 @@ BATCH_ROWS = 512
 WHITE = "\x20\x09-\x0D"
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower the rows per Arrow batch; a smaller value that the user has set stays."""
+def prepare_workers(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch and give the executors this package.
+
+    A smaller number of rows that the user has set stays. The package goes out once per application, as
+    ``--py-files`` would send it: through Spark, not through a folder.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
-
-
-def map_frames(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` over Arrow batches of ``df``, one batch in memory at a time."""
-    bounded_batches(df.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield fn(frame)
-
-    return df.mapInPandas(run, schema)
+    _send_package(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _send_package(_application: str) -> None:
+    package = pathlib.Path(__file__).resolve().parents[1]
+    # Executors fetch the file from the driver when they first need it, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="creekline-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for path in sorted(package.rglob("*.py")):
+            file.write(path, path.relative_to(package.parent))
+    SparkContext.getOrCreate().addPyFile(archive)
 
 
 def plain(value: str | None) -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creekline.llm.common import bounded_batches
+from creekline.llm.common import prepare_workers
 from creekline.sources.sinks import staged
 
 #: Vectors that partitions are learnt on, at most; vectors of a part; least and most parts.
@@ -191,7 +191,7 @@ def nearest(df: DataFrame, id_: str, vector: str, is_query, k: int = 5) -> DataF
     another length than most or hold null or non-finite components take no part, neither do null
     ids. Rows that share an id count as the query's own. Other columns are not read.
     """
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     entries = _entries(df, id_, vector)
     usual = entries.groupBy(F.length("_v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if usual is None:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import _Cache, bounded_batches, plain, worker_tokenizer
+from creekline.llm.common import _Cache, prepare_workers, plain, worker_tokenizer
 
 #: Documents of a group, on average and at most.
 GROUP_ROWS = 1024
@@ -133,7 +133,7 @@ def pack_documents(
     or repeated: each row is a document. An empty table gives no rows. Only these two columns are
     read, so others cannot clash. Texts are shuffled once, to their group.
     """
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
     groups = max(1, -(-rows.count() // group_rows))

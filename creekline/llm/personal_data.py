@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import bounded_batches, plain
+from creekline.llm.common import prepare_workers, plain
 from creekline.sources.sinks import staged
 
 #: Kinds in their order; the last is what the bootstrap finds.
@@ -127,7 +127,7 @@ PLACES = "_places array<struct<s:int,e:int,seed:boolean,what:bigint,like:array<s
 
 def scan(rows: DataFrame) -> DataFrame:
     """Base counts, digest, spans and every place that has a pattern, in place of the column ``_text`` of ``rows``."""
-    bounded_batches(rows.sparkSession)
+    prepare_workers(rows.sparkSession)
     kept = [(name, kind) for name, kind in rows.dtypes if name != "_text"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,7 +222,7 @@ def redact(df: DataFrame, text: str) -> DataFrame:
     def replaced(texts: pd.Series, base: pd.Series, more: pd.Series) -> pd.Series:
         return pd.Series([_replaced(t, b, m) for t, b, m in zip(texts, base, more, strict=True)], dtype=object)
 
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     joined = rows.join(spans, "_row", "left")
     return joined.withColumn(text, replaced(F.col(text), F.col("_base"), F.col("_more"))).select(*df.columns)
 

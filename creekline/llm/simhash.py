@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import bounded_batches, plain
+from creekline.llm.common import prepare_workers, plain
 from creekline.llm.components import components
 from creekline.sources.sinks import staged
 
@@ -52,7 +52,7 @@ def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
 
 def with_fingerprints(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     """``_key, _fp`` (a signed long) per row; null texts are empty, whole texts are hashed."""
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +206,7 @@ def fingerprint_links(prints: DataFrame, budget: int = BUDGET, block: int = BLOC
     """
     levels = _levels(prints.count(), LEAST_LEVELS, block)
     deeper = _heavy(prints, "_fp", levels, block)
-    bounded_batches(prints.sparkSession)
+    prepare_workers(prints.sparkSession)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(f["_fp"].to_numpy(np.int64).view(np.uint64) for f in frames)]))
@@ -291,7 +291,7 @@ def wide_links(prints: DataFrame, budget: int = BUDGET, block: int = WIDE_BLOCK)
     """
     levels = _levels(prints.count(), 2, block)
     limit = int(DIFFERING * 64 * WORDS)
-    bounded_batches(prints.sparkSession)
+    prepare_workers(prints.sparkSession)
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wide = np.frombuffer(b"".join(b"".join(f["_wide"]) for f in frames), np.uint64).reshape(-1, WORDS)
@@ -341,7 +341,7 @@ def without_near_copies(df: DataFrame, key: str, text: str, shingle: int = 5) ->
     estimates a similarity of 0.8. Groups are what links reach. All null and empty texts are one group.
     Columns are those of ``df``; of rows equal in key and text one stays.
     """
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]
 

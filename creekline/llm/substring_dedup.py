@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import bounded_batches, plain
+from creekline.llm.common import prepare_workers, plain
 from creekline.sources.sinks import staged
 
 #: Leading bytes whose fingerprint samples a suffix of a window.
@@ -35,6 +35,8 @@ LEADING = 80
 PART = 1 << 20
 #: Records of a bucket, about, and documents that splitters are sampled from, about.
 BUCKET, SAMPLED = 400_000, 4_000
+#: Records of the sample that splitters are taken from, about.
+SPLITTERS_FROM = 20_000
 
 _START = np.random.default_rng(20)
 _TABLE = _START.integers(0, 2**64, 256, dtype=np.uint64)
@@ -132,7 +134,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def suffix_records(docs: DataFrame, window: int, dealt: Dealer | None = None) -> DataFrame:
     """One record per stretch of every text of ``docs`` (``_doc, _text``); windows repeated within
     their own stretch come as records with ``_n`` below 0. ``dealt`` adds each record's bucket."""
-    bounded_batches(docs.sparkSession)
+    prepare_workers(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -172,8 +174,11 @@ class Dealer:
     def __init__(self, sample: DataFrame, total: int):
         spark = sample.sparkSession
         wanted = max(1, -(-total // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")))
-        picked = sample.toPandas()
-        keys = [picked[c].to_numpy(np.int64) for c in COLUMNS[:4]]
+        # A share of the sample by hash: the driver sees about SPLITTERS_FROM records, whatever there are.
+        part = max(1, min(1_000_000, 1_000_000 * SPLITTERS_FROM // max(1, sample.count())))
+        thin = F.pmod(F.xxhash64(*COLUMNS[:4], F.lit(8)), F.lit(1_000_000)) < F.lit(part)
+        picked = sample.filter(thin).select(*COLUMNS[:4]).toArrow()
+        keys = [picked[c].to_numpy().astype(np.int64) for c in COLUMNS[:4]]
         order = multikey_order(keys)
         at = np.unique(np.linspace(0, len(order), wanted + 1).astype(int)[1:-1])
         split = np.unique(np.stack(keys, 1)[order[at]], axis=0) if len(order) else np.zeros((0, 4), np.int64)
@@ -290,7 +295,7 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = 200) -> Dat
     Strings never cross texts, and shorter texts lose nothing. Rows equal in key and text are two
     texts, and so lose all if long enough. Null keys are allowed; other columns are not read.
     """
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
     docs = df.select(F.col(key).alias("_key"), F.xxhash64(F.col(key), F.col(text)).alias("_doc"), F.col(text).alias("_text"))
     kind = dict(docs.dtypes)["_key"]
     long_ = docs.select("_doc", "_text").filter(F.octet_length("_text") >= window)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import ChunkTokenizer, _Cache, bounded_batches, plain, worker_tokenizer
+from creekline.llm.common import ChunkTokenizer, _Cache, prepare_workers, plain, worker_tokenizer
 
 #: Entries of the broadcast table and the longest string in it: at most about 3 MB.
 FREQUENT = 32_768
@@ -30,7 +30,7 @@ REMEMBERED = 500_000
 
 def frequent_lengths(df: DataFrame, text: str, path: str, size: int = FREQUENT) -> dict[str, int]:
     """Token lengths of the most frequent chunks; every row is counted where it lies."""
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer, counts = worker_tokenizer(path), Counter()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import _Cache, bounded_batches, plain
+from creekline.llm.common import _Cache, prepare_workers, plain
 from creekline.sources.sinks import staged
 
 #: Slots of the hashed terms, and length of a slot's vector.
@@ -171,7 +171,7 @@ def fit(labelled: DataFrame, text: str, label: str) -> Machine:
     ``bounded_labels`` keeps their number within bounds. Unless both labels occur, the machine
     scores by its starting bias.
     """
-    bounded_batches(labelled.sparkSession)
+    prepare_workers(labelled.sparkSession)
     rows = labelled.select(F.col(text).alias("_text"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1)")
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,7 +210,7 @@ def with_scores(df: DataFrame, text: str, machine: Machine, score: str = "score"
     """``df`` with the probability of toxicity added. A null text is empty; the empty text has the
     machine's base rate. Every row stays, repeated ones too."""
     shared = df.sparkSession.sparkContext.broadcast(machine)
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
 
     @F.pandas_udf("double")
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

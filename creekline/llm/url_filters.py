@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import bounded_batches, plain
+from creekline.llm.common import prepare_workers, plain
 from creekline.sources.sinks import staged
 
 #: Longest context in bytes, and slots per order: 2 models x 5 orders x 3 arrays x 0.5 MB.
@@ -99,7 +99,7 @@ def fit_models(labelled: DataFrame) -> np.ndarray:
     ``labelled`` has ``_url`` and ``_class`` (0 accepted, 1 rejected). Every row is counted. What
     reaches the driver is one row at most per class, kind, order and slot.
     """
-    bounded_batches(labelled.sparkSession)
+    prepare_workers(labelled.sparkSession)
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -165,7 +165,7 @@ def calibrate(bars: Sequence[tuple[float, int, int]]) -> tuple[float, float]:
 def _scored(df: DataFrame, model: np.ndarray) -> DataFrame:
     """``df`` with ``_score`` added; ``_url`` must be among its columns."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    bounded_batches(df.sparkSession)
+    prepare_workers(df.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
