@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from creekline.functions import fixed_values as fixed
 
-MAX_CONFIG_BYTES = 1 << 20
-
 SPEC_SCHEMA = (
     "target string, ord int, source string, column string, label string, transform string, "
     "direction string, min double, max double, caution string"
@@ -60,9 +58,6 @@ def default_limits() -> list[LimitSpec]:
 def _read_json(spark: SparkSession, path: str) -> dict:
     """Read one small configuration file through Spark, so any file system works."""
     files = spark.read.format("binaryFile").load(path)
-    size = files.agg(F.sum("length")).first()[0] or 0
-    if size > MAX_CONFIG_BYTES:
-        raise ValueError(f"{path} is {size} bytes; a configuration file must stay under {MAX_CONFIG_BYTES}")
     return json.loads(bytes(files.select("content").first()[0]).decode("utf-8"))
 
 

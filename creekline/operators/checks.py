@@ -12,7 +12,7 @@ from creekline.functions.scalar import (
     is_close, strip, text_key, to_number, to_sample_time,
 )
 from creekline.functions.specs import TargetSpec
-from creekline.operators.quarantine import wide_to_long
+from creekline.operators.quarantine import line_columns, wide_to_long
 from creekline.operators.ranking import exact_quantiles
 
 MICROS_PER_DAY = 86_400_000_000
@@ -38,7 +38,10 @@ def profile_measurements(good: DataFrame, specs: Sequence[TargetSpec], source: s
     )
 
 
-def _stacked(rows: DataFrame, ids: Sequence[str], entries: list[Column]) -> DataFrame:
+def _stacked(rows: DataFrame, ids: Sequence[str], entries: list[Column], kind: str) -> DataFrame:
+    """A row per entry; none at all, if the table has none of the columns."""
+    if not entries:
+        return rows.select(*ids, F.from_json(F.lit("{}"), kind).alias("_e")).select(*ids, "_e.*").limit(0)
     return rows.select(*ids, F.explode(F.array(*entries)).alias("_e")).select(*ids, "_e.*")
 
 
@@ -56,7 +59,7 @@ def reviewed_vs_original(
         for s in specs
         if s.target in reviewed and reviewed[s.target] in good.columns and s.column in good.columns
     ]
-    pairs = _stacked(good, ["source", "csv_line"], entries)
+    pairs = _stacked(good, ["source", *line_columns(good)], entries, "target string, original double, reviewed double")
     both = F.col("original").isNotNull() & F.col("reviewed").isNotNull()
     return pairs.filter(both & ~is_close(F.col("original"), F.col("reviewed"), 1e-4, 0.01))
 
@@ -92,7 +95,8 @@ def count_volume_check(
                 ),
             )
         )
-    rows = _stacked(good, ["csv_line"], entries).filter(
+    kind = "target string, reported double, candidate_count_volume_formula double"
+    rows = _stacked(good, line_columns(good), entries, kind).filter(
         F.col("reported").isNotNull() & F.col("candidate_count_volume_formula").isNotNull()
     )
     expected = F.col("candidate_count_volume_formula")
@@ -121,7 +125,8 @@ def derived_value_check(
                 (total / len(parts) * factor).alias("candidate_formula"),
             )
         )
-    rows = _stacked(good, ["csv_line"], entries).filter(
+    kind = "target string, reported double, candidate_formula double"
+    rows = _stacked(good, line_columns(good), entries, kind).filter(
         F.col("reported").isNotNull() & F.col("candidate_formula").isNotNull()
     )
     match = is_close(F.col("reported"), F.col("candidate_formula"), 0.001, 0.05)
@@ -139,7 +144,7 @@ def review_rows(checks: DataFrame, source_file: str) -> DataFrame:
         kept = checks.filter(F.col("discrepancy_type") != "match").drop("matches_candidate_formula")
     else:
         kept = checks.filter(~F.col("matches_candidate_formula")).drop("matches_candidate_formula")
-    order = ["csv_line", "target", "reported", *[
+    order = [*line_columns(checks), "target", "reported", *[
         c for c in ("candidate_count_volume_formula", "candidate_formula", "discrepancy_type") if c in kept.columns
     ]]
     return kept.select(

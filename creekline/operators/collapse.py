@@ -8,45 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creekline.functions import fixed_values as fixed
+from creekline.operators.quarantine import line_columns
 from creekline.operators.ranking import exact_quantiles
-from creekline.sources.sinks import staged
 
 UNIT = ["site", "date", "target"]
-HOT_VALUES = 100_000
-
-
-def grouped_median(
-    values: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: str,
-    extra: Sequence[Column] = (),
-    hot_values: int = HOT_VALUES,
-) -> DataFrame:
+def grouped_median(values: DataFrame, keys: Sequence[str], value: str, weight: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Exact weighted median per group as ``median``, from one row per group and distinct value.
 
-    The input is staged once, which costs no more than another shuffle and spares rescans.
-    Groups with at most ``hot_values`` distinct values are aggregated in place. If larger
-    ones exist, they are ranked across many tasks by ``exact_quantiles``. ``extra`` are
-    further aggregates (of bounded size) wanted per group.
+    ``exact_quantiles`` ranks values over bounded bands, so one plan serves groups of any size.
+    ``extra`` are further aggregates (of bounded size) wanted per group.
     """
     keys = list(keys)
-    table = staged(values, "values")
-    usual = [F.percentile(F.col(value), F.lit(0.5), F.col(weight)).alias("median"), *extra]
-    hot = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_values"))
-    hot = hot.filter(F.col("_values") > hot_values).select(*keys)
-    if hot.isEmpty():
-        return table.groupBy(*keys).agg(*usual)
-    spread = table.join(hot, keys, "left_semi")
-    ranked = exact_quantiles(spread, keys, value, {"median": 0.5}, weight=weight)
-    if extra:
-        ranked = ranked.join(spread.groupBy(*keys).agg(*extra), keys)
-    return table.join(hot, keys, "left_anti").groupBy(*keys).agg(*usual).unionByName(ranked)
+    medians = exact_quantiles(values, keys, value, {"median": 0.5}, weight=weight)
+    return medians.join(values.groupBy(*keys).agg(*extra), keys) if extra else medians
 
 
-def collapse_replicates(
-    measurements: DataFrame, hot_values: int = HOT_VALUES, names: bool = True
-) -> DataFrame:
+def collapse_replicates(measurements: DataFrame, names: bool = True) -> DataFrame:
     """Median value, first waterbody in source order and replicate count per site, date, target.
 
     Input: site, date, target, value, waterbody, csv_line. The first aggregation is keyed by
@@ -56,12 +33,12 @@ def collapse_replicates(
     the first aggregation a hash aggregation on numbers.
     """
     count = F.count(F.lit(1)).alias("_n")
-    first = [F.min(F.struct("csv_line", "waterbody")).alias("_first")] if names else []
+    first = [F.min(F.struct(*line_columns(measurements), "waterbody")).alias("_first")] if names else []
     per_value = measurements.groupBy(*UNIT, "value").agg(count, *first)
     extra = [F.sum("_n").alias("replicate_rows")]
     if names:
         extra.append(F.min("_first").alias("_first"))
-    collapsed = grouped_median(per_value, UNIT, "value", "_n", extra, hot_values)
+    collapsed = grouped_median(per_value, UNIT, "value", "_n", extra)
     waterbody = [F.col("_first.waterbody").alias("waterbody")] if names else []
     return collapsed.select(*UNIT, F.col("median").alias("value"), *waterbody, "replicate_rows")
 
@@ -75,7 +52,7 @@ def v1_collapse_site_days(rows: DataFrame, numeric: Sequence[str]) -> DataFrame:
         *[F.max(F.when(F.col("_name") == name, F.col("median"))).alias(name) for name in numeric]
     )
     firsts = rows.groupBy("site", "date").agg(
-        F.min(F.struct("csv_line", "watershed", "waterbody")).alias("_first"),
+        F.min(F.struct(*line_columns(rows), "watershed", "waterbody")).alias("_first"),
         F.count(F.lit(1)).alias("rows"),
     )
     return firsts.join(wide, ["site", "date"], "left").select(

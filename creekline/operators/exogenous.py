@@ -70,15 +70,25 @@ def add_weather(rows: DataFrame, features: DataFrame, series: str | None = None)
     known = known.withColumnRenamed("day", "_known")
     keyed = rows.withColumn("_known", F.date_sub("issue_date", 1))
     if series is None:
+        _one_series(features)
         return keyed.join(known.drop("series_id"), "_known", "left").drop("_known")
     known = known.withColumnRenamed("series_id", series)
     return keyed.join(known, [series, "_known"], "left").drop("_known")
 
 
-def add_event_rain(rows: DataFrame, features: DataFrame) -> DataFrame:
+def add_event_rain(rows: DataFrame, features: DataFrame, series: str | None = None) -> DataFrame:
     """Rain on the sample day and three days before: unknown at issue time, diagnostic only."""
-    seen = features.select(F.col("day").alias("date"), F.col("rain_0_3").alias("oracle_rain_0_3"))
-    return rows.join(seen, "date", "left")
+    seen = features.select("series_id", F.col("day").alias("date"), F.col("rain_0_3").alias("oracle_rain_0_3"))
+    if series is None:
+        _one_series(features)
+        return rows.join(seen.drop("series_id"), "date", "left")
+    return rows.join(seen.withColumnRenamed("series_id", series), [series, "date"], "left")
+
+
+def _one_series(features: DataFrame) -> None:
+    """Without a key, two series would multiply rows."""
+    if len(features.select("series_id").distinct().limit(2).collect()) > 1:
+        raise ValueError("there are several series: name the column that picks one")
 
 
 def missing_rate(rows: DataFrame, columns: Sequence[str] = tuple(fixed.WEATHER_FEATURES)) -> DataFrame:

@@ -69,6 +69,11 @@ def v1_row_rules(df: DataFrame, snapshot: str, kind: str) -> dict[str, Column]:
     return rules
 
 
+def line_columns(df: DataFrame) -> list[str]:
+    """What names a source record: its line and, where kept, its file."""
+    return [c for c in ("csv_file", "csv_line") if c in df.columns]
+
+
 def with_reason(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``reason`` joins every broken rule as ``name;``; an empty text means the row is good."""
     broken = [F.when(rule, F.lit(f"{name};")) for name, rule in rules.items()]
@@ -85,7 +90,7 @@ def quarantine_rows(
         F.col(fixed.SITE_COLUMN).alias("site"),
         to_sample_date(F.col(fixed.SAMPLE_TIME_COLUMN)).alias("date"),
     ).drop("reason")
-    excluded = judged.filter(F.col("reason") != "").select("source", "csv_line", "globalid", "reason")
+    excluded = judged.filter(F.col("reason") != "").select("source", *line_columns(df), "globalid", "reason")
     return good, excluded
 
 
@@ -103,11 +108,12 @@ def ingest_audit(df: DataFrame, snapshot: str) -> DataFrame:
 def wide_to_long(good: DataFrame, specs: Sequence[TargetSpec], source: str) -> DataFrame:
     """One row per source row and measurement: ``target`` with its stripped ``text``."""
     wanted = [s for s in specs if s.source == source]
+    lines = line_columns(good)
     return good.select(
-        F.lit(source).alias("source"), "csv_line", "site", "date", "waterbody",
+        F.lit(source).alias("source"), *lines, "site", "date", "waterbody",
         *[strip(F.coalesce(F.col(s.column), F.lit(""))).alias(s.target) for s in wanted],
     ).unpivot(
-        ["source", "csv_line", "site", "date", "waterbody"], [s.target for s in wanted], "target", "text"
+        ["source", *lines, "site", "date", "waterbody"], [s.target for s in wanted], "target", "text"
     )
 
 
@@ -120,12 +126,12 @@ def judged_cells(cells: DataFrame, specs: Sequence[TargetSpec]) -> DataFrame:
 
 def quarantine_cells(cells: DataFrame, specs: Sequence[TargetSpec]) -> tuple[DataFrame, DataFrame]:
     """Valid measurements, and the cells that are no number or outside the accepted range."""
-    judged = judged_cells(cells, specs)
+    judged, lines = judged_cells(cells, specs), line_columns(cells)
     valid = judged.filter((F.col("text") != "") & ~F.col("bad")).select(
-        "source", "csv_line", "site", "date", "target", "value", "waterbody"
+        "source", *lines, "site", "date", "target", "value", "waterbody"
     )
     rejected = judged.filter("bad").select(
-        "source", "csv_line", "target", F.col("text").alias("value"),
+        "source", *lines, "target", F.col("text").alias("value"),
         F.lit("non_numeric_or_outside_configured_range").alias("reason"),
     )
     return valid, rejected

@@ -2,10 +2,12 @@
 
 A target or a source can hold a third of all rows, so a window over the whole group or a
 ``percentile`` aggregate over it would end in a single task. Here a group is first reduced
-to distinct values with weights (map-side combined, keyed by group *and* value), then cut
-into narrow value bands. Only band totals are cumulated over the whole group; a second window
-runs inside each band. Band numbers depend on values alone, so a recomputed task gives the
-same answer.
+to distinct values with weights (map-side combined, keyed by group *and* value). Values are then
+cut twice along the bits of a double: into outer bands by power of two and 256 parts of it, and
+those into 2^22 inner bands. Totals are cumulated over outer bands, then over the inner bands of
+each, and a last window runs inside an inner band, where 2^22 different doubles have room. So
+every window is bounded by the number format, however many values a group has and however
+closely they lie. Bands depend on values alone, so a recomputed task gives the same answer.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS_PER_OCTAVE = 4096
+OUTER_PER_OCTAVE = 256
+INNER_BANDS = 1 << 22
+BANDS = ["_band", "_inner"]
 
 
 def weighted_values(df: DataFrame, keys: Sequence[str], value: str, **weights: Column) -> DataFrame:
@@ -30,45 +34,62 @@ def weighted_values(df: DataFrame, keys: Sequence[str], value: str, **weights: C
     )
 
 
-def value_band(value: Column) -> Column:
-    """A whole number that never falls as ``value`` grows: its power of two, cut into 4096 bands.
+def value_bands(value: Column) -> tuple[Column, Column]:
+    """Outer and inner band: whole numbers that together never fall as ``value`` grows.
 
-    It needs no minimum or maximum of the data, so no pass and no join to find them. All steps
+    They need no minimum or maximum of the data, so no pass and no join to find them. All steps
     are exact in double arithmetic, except the logarithm, which is put right afterwards.
     """
     size = F.abs(value)
     guess = F.floor(F.log2(size))
     guess_scale = size / F.pow(F.lit(2.0), guess)
     power = F.when(guess_scale >= 2, guess + 1).when(guess_scale < 1, guess - 1).otherwise(guess)
-    part = F.floor((size / F.pow(F.lit(2.0), power) - 1) * BANDS_PER_OCTAVE)
-    band = (power + 1001) * BANDS_PER_OCTAVE + part
-    tiny = F.lit(2.0**-1000)
-    return F.when(size < tiny, F.lit(0)).when(value > 0, band).otherwise(-band).cast("bigint")
+    part = (size / F.pow(F.lit(2.0), power) - 1) * OUTER_PER_OCTAVE
+    outer = (power + 1001) * OUTER_PER_OCTAVE + F.floor(part)
+    inner = F.floor((part - F.floor(part)) * INNER_BANDS)
+    tiny = size < F.lit(2.0**-1000)
 
+    def signed(band: Column) -> Column:
+        return F.when(tiny, F.lit(0)).when(value > 0, band).otherwise(-band).cast("bigint")
 
-def band_offsets(counted: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
-    """Per group and band: weight in the band, before it and in the whole group.
+    return signed(outer), signed(inner)
 
-    The only window over a whole group, and it sees bands, not rows: 4096 per power of two
-    the values span.
-    """
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    bands = counted.groupBy(*keys, "_band").agg(*[F.sum(w).alias(f"_inside_{w}") for w in weights])
-    columns = []
-    for w in weights:
-        inside = F.col(f"_inside_{w}")
-        columns += [
-            inside,
-            F.coalesce(F.sum(inside).over(earlier), F.lit(0)).alias(f"_before_{w}"),
-            F.sum(inside).over(group).alias(f"_total_{w}"),
-        ]
-    return bands.select(*keys, "_band", *columns)
+
+def with_bands(counted: DataFrame, value: str) -> DataFrame:
+    outer, inner = value_bands(F.col(value))
+    return counted.withColumns({"_band": outer, "_inner": inner})
+
+
+def _cumulated(table: DataFrame, group: Sequence[str], order: str, weights: Sequence[str], total: bool) -> DataFrame:
+    """``_before_w``: the weight of earlier bands of the group; with ``total`` also the group's ``_total_w``."""
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    columns = {f"_before_{w}": F.coalesce(F.sum(f"_inside_{w}").over(earlier), F.lit(0)) for w in weights}
+    if total:
+        columns |= {f"_total_{w}": F.sum(f"_inside_{w}").over(whole) for w in weights}
+    return table.withColumns(columns)
+
+
+def band_offsets(counted: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
+    """Per group and inner band: weight in the band, before it and in the whole group."""
+    keys = list(keys)
+    sums = [F.sum(w).alias(f"_inside_{w}") for w in weights]
+    inner = counted.groupBy(*keys, *BANDS).agg(*sums)
+    outer = inner.groupBy(*keys, "_band").agg(*[F.sum(f"_inside_{w}").alias(f"_inside_{w}") for w in weights])
+    outer = _cumulated(outer, keys, "_band", weights, True)
+    outer = outer.select(*keys, "_band", *[F.col(f"_before_{w}").alias(f"_outer_{w}") for w in weights], *[f"_total_{w}" for w in weights])
+    inner = _cumulated(inner, [*keys, "_band"], "_inner", weights, False)
+    joined = inner.join(outer, [*keys, "_band"])
+    return joined.select(
+        *keys, *BANDS, *[f"_inside_{w}" for w in weights],
+        *[(F.col(f"_before_{w}") + F.col(f"_outer_{w}")).alias(f"_before_{w}") for w in weights],
+        *[f"_total_{w}" for w in weights],
+    )
 
 
 def _within_band(keys: Sequence[str], value: str):
     return (
-        Window.partitionBy(*keys, "_band").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys, *BANDS).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     )
 
 
@@ -76,9 +97,9 @@ def running_totals(
     counted: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]
 ) -> DataFrame:
     """Per group and distinct value: weight strictly below it (``below_w``) and of the group (``total_w``)."""
-    banded = counted.withColumn("_band", value_band(F.col(value)))
+    banded = with_bands(counted, value)
     inner = _within_band(keys, value)
-    return banded.join(band_offsets(banded, keys, weights), [*keys, "_band"]).select(
+    return banded.join(band_offsets(banded, keys, weights), [*keys, *BANDS]).select(
         *keys, value, *weights,
         *[
             (F.col(f"_before_{w}") + F.coalesce(F.sum(w).over(inner), F.lit(0))).alias(f"below_{w}")
@@ -97,7 +118,7 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per group: one row per group, a column per name."""
     counted = weighted_values(df, keys, value, n=F.col(weight) if weight else F.lit(1).cast("bigint"))
-    banded = counted.withColumn("_band", value_band(F.col(value)))
+    banded = with_bands(counted, value)
     position = {name: (F.col("_total_n") - 1) * F.lit(float(p)) for name, p in probabilities.items()}
     wanted = {}
     for name, at in position.items():
@@ -113,7 +134,7 @@ def exact_quantiles(
         needed = needed | holds(rank, F.col("_before_n"), F.col("_inside_n"))
     bands = band_offsets(banded, keys, ["n"]).filter(needed)
     start = F.col("_before_n") + F.coalesce(F.sum("n").over(_within_band(keys, value)), F.lit(0))
-    picked = banded.join(bands, [*keys, "_band"]).withColumn("_start", start)
+    picked = banded.join(bands, [*keys, *BANDS]).withColumn("_start", start)
     ends = picked.groupBy(*keys).agg(
         F.max("_total_n").alias("_total_n"),
         *[

@@ -24,10 +24,14 @@ def assert_unique(df: DataFrame, keys: Sequence[str], what: str) -> None:
         raise ValueError(f"{what}: {', '.join(keys)} must be unique")
 
 
-def join_many_to_one(checks: DataFrame, raw: DataFrame, key: str = "csv_line") -> DataFrame:
-    """Site, date and target of every check; any flagged replicate marks its aggregate."""
-    assert_unique(raw, [key], "source rows")
-    return checks.join(raw.select(key, "site", "date"), key).select(*PREDICTION_KEY).distinct()
+def join_many_to_one(checks: DataFrame, raw: DataFrame, key: Sequence[str] = ("csv_file", "csv_line")) -> DataFrame:
+    """Site, date and target of every check; any flagged replicate marks its aggregate.
+
+    Records are named by file and line; where no file is kept, there is one file.
+    """
+    key = [k for k in key if k in checks.columns and k in raw.columns]
+    assert_unique(raw, key, "source rows")
+    return checks.join(raw.select(*key, "site", "date"), key).select(*PREDICTION_KEY).distinct()
 
 
 def union_keys(*tables: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from creekline.functions.specs import TargetSpec
 from creekline.operators import checks, errors, sensitivity
 from creekline.operators.bootstrap import cluster_bootstrap
 from creekline.operators.history import training_rows
+from creekline.operators.quarantine import line_columns
 from creekline.operators.revisions import verify_join_1_1
 from creekline.sources.sinks import staged, write_table
 
@@ -37,7 +38,7 @@ def error_audit(
 def source_audit(good: dict[str, DataFrame], specs: Sequence[TargetSpec]) -> dict[str, DataFrame]:
     """Profiles, arithmetic checks, methods, timing and identities of the structurally good rows."""
     column = {s.target: s.column for s in specs}
-    shared = ["source", "csv_line", "site", "date", "waterbody", fixed.LOCATION_COLUMN, fixed.SAMPLE_TIME_COLUMN, fixed.CREATED_COLUMN]
+    shared = ["source", *line_columns(good["bacteria"]), "site", "date", "waterbody", fixed.LOCATION_COLUMN, fixed.SAMPLE_TIME_COLUMN, fixed.CREATED_COLUMN]
     stamped = good["bacteria"].select(*shared).unionByName(good["chemistry"].select(*shared))
     identities = checks.site_identity_audit(stamped)
     bacteria = checks.count_volume_check(good["bacteria"], column)
@@ -62,7 +63,7 @@ def source_audit(good: dict[str, DataFrame], specs: Sequence[TargetSpec]) -> dic
 
 def sensitivity_audit(table: DataFrame, good: dict[str, DataFrame], audit: dict[str, DataFrame], replicates: int = 1000) -> dict[str, DataFrame]:
     """Results without questionable outcomes: scenario summaries, flags and site intervals."""
-    lines = {source: rows.select("csv_line", "site", "date") for source, rows in good.items()}
+    lines = {source: rows.select(*line_columns(rows), "site", "date") for source, rows in good.items()}
     bacteria, chemistry = audit["bacteria_formula_checks"], audit["chemistry_derived_checks"]
 
     def keys(b: DataFrame, c: DataFrame) -> DataFrame:

@@ -43,7 +43,12 @@ def judge(rows: DataFrame, registry: DataFrame, specs: Sequence[TargetSpec], sco
     interval = cluster_bootstrap(gains, SCOPE, "gain", replicates).withColumns({
         "lower_95": F.when(several, F.col("lower_95")), "upper_95": F.when(several, F.col("upper_95")),
     })
-    judged = errors.join(interval, SCOPE).select(
+    # Every frozen target has a row; one without new samples has none observed and is never judged.
+    frozen = registry.select("target", F.lit(scope).alias("fold"), "selected", "selected_baseline")
+    seen = errors.drop("selected", "selected_baseline").join(interval, SCOPE)
+    judged = frozen.join(seen, SCOPE, "left").withColumns({
+        "observations": F.coalesce("observations", F.lit(0)), "sites": F.coalesce("sites", F.lit(0)),
+    }).select(
         "*",
         F.coalesce(
             percent_gain(F.col("model_transformed_MAE"), F.col("baseline_transformed_MAE")), F.lit(0.0)

@@ -35,13 +35,32 @@ def read_survey_csv(
     with ``land_survey`` and work on the result. Files without them can be split
     (``multiline=False``).
     """
-    columns = list(columns) if columns else header_names(spark, path)
+    if columns:
+        return _read_as(spark, [path], list(columns), multiline)
+    # Files whose headers differ are read by their own names and put together by name.
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in _files(spark, path):
+        groups.setdefault(tuple(header_names(spark, file)), []).append(file)
+    parts = [_read_as(spark, files, list(names), multiline) for names, files in groups.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns]) if len(parts) > 1 else out
+
+
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """The files of an export: names only, no content is read."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()
+    return sorted(r["path"] for r in found)
+
+
+def _read_as(spark: SparkSession, paths: list[str], columns: list[str], multiline: bool) -> DataFrame:
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = (
         spark.read.schema(schema)
         .option("header", True).option("enforceSchema", True)
         .option("multiLine", multiline).option("escape", '"')
-        .csv(path)
+        .csv(paths)
     )
     blank = list(fixed.MISSING_TOKENS)
     return raw.select(
@@ -77,9 +96,9 @@ def with_source_line(df: DataFrame) -> DataFrame:
 
 
 def land_survey(spark: SparkSession, path: str, source: str, multiline: bool = True) -> DataFrame:
-    """An export as a columnar table with its source name and line numbers."""
+    """An export as a columnar table with its source name, and the file and line of every record."""
     rows = with_source_line(read_survey_csv(spark, path, multiline=multiline))
-    return rows.withColumn("source", F.lit(source))
+    return rows.withColumn("csv_file", F.element_at(F.split("_file", "/"), -1)).withColumn("source", F.lit(source))
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:

@@ -91,9 +91,32 @@ def test_hot_group_gives_the_same_median(spark, day):
     rows = [("s", day("2024-01-01"), "ph", (i * 37 % 1001) / 100, "w", i) for i in range(1000)]
     rows += [("t", day("2024-01-01"), "ph", 7.0, "w", 5000), ("t", day("2024-01-01"), "ph", 8.0, "v", 4000)]
     df = spark.createDataFrame(rows, "site string, date date, target string, value double, waterbody string, csv_line bigint")
-    usual = sorted(C.collapse_replicates(df).collect())
-    assert usual == sorted(C.collapse_replicates(df, hot_values=50).collect())
-    assert usual[1]["value"] == 7.5 and usual[1]["waterbody"] == "v"
+    got = sorted(C.collapse_replicates(df).collect())
+    assert got[0]["value"] == pytest.approx(sorted(r[3] for r in rows[:1000])[499] / 2 + sorted(r[3] for r in rows[:1000])[500] / 2)
+    assert got[1]["value"] == 7.5 and got[1]["waterbody"] == "v"
+
+
+def test_files_with_other_column_order_and_lines(spark, tmp_path):
+    from creekline.operators.sensitivity import join_many_to_one
+    from creekline.sources.survey import land_survey
+
+    (tmp_path / "one.csv").write_text("a,b,c\n1,2,3\n")
+    (tmp_path / "two.csv").write_text("b,a\n20,10\n21,11\n")
+    rows = land_survey(spark, str(tmp_path), "s")
+    got = {(r["csv_file"], r["csv_line"]): (r["a"], r["b"], r["c"]) for r in rows.collect()}
+    assert got == {("one.csv", 2): ("1", "2", "3"), ("two.csv", 2): ("10", "20", ""), ("two.csv", 3): ("11", "21", "")}
+    raw = rows.withColumns({"site": F.col("a"), "date": F.lit("2024-01-01")})
+    checks = rows.select("csv_file", "csv_line", F.lit("ph").alias("target"))
+    assert sorted(r["site"] for r in join_many_to_one(checks, raw).collect()) == ["1", "10", "11"]
+
+
+def test_no_reviewed_columns_give_an_empty_table(spark):
+    from creekline.functions.specs import default_specs
+    from creekline.operators.checks import reviewed_vs_original
+
+    rows = spark.createDataFrame([("chemistry", 2, "7")], "source string, csv_line bigint, ph_standard_units string")
+    out = reviewed_vs_original(rows, default_specs())
+    assert out.columns == ["source", "csv_line", "target", "original", "reviewed"] and out.count() == 0
 
 
 def test_v1_out_of_range_becomes_null(spark):

@@ -38,11 +38,21 @@ def test_weighted_quantile_equals_repeated_rows(spark):
 
 def test_value_band_never_falls(spark, groups):
     values = np.unique(np.concatenate(list(groups.values())) + 0.0)
-    rows = frame(spark, {"x": values}).select("v", R.value_band(F.col("v")).alias("b")).orderBy("v").collect()
+    rows = frame(spark, {"x": values}).select("v", F.struct(*R.value_bands(F.col("v"))).alias("b")).orderBy("v").collect()
     bands = [r["b"] for r in rows]
     assert bands == sorted(bands)
 
 
+def test_narrow_range_is_spread_over_bands(spark):
+    values = np.random.default_rng(4).uniform(20_000, 20_001, 5_000)
+    df = frame(spark, {"x": values})
+    bands = R.with_bands(df, "v").select(*R.BANDS).distinct().count()
+    assert bands > 2_000
+    got = R.exact_quantiles(df, ["g"], "v", {"q": 0.3, "m": 0.5}).first()
+    assert got["q"] == pytest.approx(np.quantile(values, 0.3), rel=1e-14)
+    assert got["m"] == pytest.approx(np.quantile(values, 0.5), rel=1e-14)
+
+
 def brute_auc(scores, labels):
     wins = sum((p > n) + 0.5 * (p == n) for p in scores[labels == 1] for n in scores[labels == 0])
     return wins / ((labels == 1).sum() * (labels == 0).sum())

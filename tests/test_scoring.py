@@ -116,3 +116,32 @@ def test_missing_rain_is_not_dry(spark):
     row = at(spark, gap, "2024-02-10")
     assert row["rain_30"] is None and row["days_since_rain5"] is None
     assert at(spark, gap, "2024-02-06")["rain_0_3"] is None and at(spark, gap, "2024-02-09")["rain_0_3"] == 0.0
+
+
+def test_several_series_need_a_key(spark, day):
+    names = X.fixed.WEATHER_FEATURES
+    known = spark.createDataFrame(
+        [(s, day("2024-01-01"), *[1.0] * len(names), 2.0) for s in ("a", "b")],
+        "series_id string, day date, " + ", ".join(f"{n} double" for n in names if n != "rain_0_3") + ", rain_0_3 double",
+    ) if "rain_0_3" not in names else None
+    rows = spark.createDataFrame([("a", day("2024-01-02"), day("2024-01-01"))], "creek string, issue_date date, date date")
+    for call in (X.add_weather, X.add_event_rain):
+        with pytest.raises(ValueError):
+            call(rows, known)
+    assert X.add_weather(rows, known, "creek").count() == 1
+    assert X.add_event_rain(rows, known, "creek").count() == 1
+
+
+def test_frozen_target_without_samples_keeps_its_row(spark, day):
+    from creekline.functions.specs import default_specs
+    from creekline.plans.prospective import judge
+
+    kind = "site string, date date, issue_date date, actual double, target_age_days int, target string, last_value double, history_median double, seasonal_site double, last3_mean double, regressed double"
+    rows = spark.createDataFrame([("s", day("2026-05-01"), day("2026-04-24"), 7.0, 20, "ph", 7.1, 7.2, 7.0, 7.1, None)], kind)
+    registry = spark.createDataFrame(
+        [("ph", "seasonal_site", "seasonal_site", 7.0), ("nitrate", "seasonal_site", "seasonal_site", 1.0)],
+        "target string, selected string, selected_baseline string, median double",
+    )
+    judged, _ = judge(rows, registry, default_specs(), "all_sites", 20)
+    got = {r["target"]: (r["observations"], r["verdict"]) for r in judged.collect()}
+    assert got["nitrate"][0] == 0 and got["ph"][0] == 1

@@ -293,7 +293,7 @@ add("s_text_number_date_key", numbers, sql(f"""
 
 add("d1_collapse_replicates", t.observations, sql(OBS, "value"))
 add("d1_collapse_hot_groups", lambda spark, sf: C.collapse_replicates(
-    t.measurements(spark, sf).withColumn("site", F.lit("all")), hot_values=10),
+    t.measurements(spark, sf).withColumn("site", F.lit("all"))),
     sql("""select 'all' as site, date, target, median(value) as value, min(row(csv_line, waterbody))[2] as waterbody,
       count(*) as replicate_rows from long group by date, target""", "value"))
 
