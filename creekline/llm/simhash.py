@@ -167,8 +167,10 @@ def trie_links(
 
 def _deal(keys: np.ndarray, levels: int, deeper: dict[int, int], budget: int) -> Iterator[tuple[int, int, int, bool, slice]]:
     """Node pairs that the sorted ``keys`` take part in: depth, both nodes, whether as the second, and which keys."""
+    if not len(keys):
+        return
     heads = (keys >> np.uint64(64 - levels)).astype(np.int64) if levels else np.zeros(len(keys), np.int64)
-    starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(keys) else np.zeros(0, int)
+    starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
     masks = [(m, m.bit_count()) for m in _masks(levels, budget)]
     for s, end in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True):
         head = int(heads[s])

@@ -40,7 +40,8 @@ def frequent_lengths(df: DataFrame, text: str, path: str, size: int = FREQUENT)
                 if len(counts) > COUNTED:
                     counts = Counter(dict(counts.most_common(COUNTED // 2)))
         top = [(k, n) for k, n in counts.most_common(size) if len(k) <= LONGEST]
-        yield pd.DataFrame({"_chunk": [k for k, _ in top], "_n": pd.Series([n for _, n in top], dtype="int64")})
+        if top:
+            yield pd.DataFrame({"_chunk": [k for k, _ in top], "_n": [n for _, n in top]})
 
     partial = df.select(F.col(text).alias("_text")).mapInPandas(count, "_chunk string, _n bigint")
     top = partial.groupBy("_chunk").agg(F.sum("_n").alias("_n")).orderBy(F.desc("_n"), "_chunk").limit(size)
