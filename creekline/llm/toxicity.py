@@ -157,42 +157,48 @@ def telling_slots(table: DataFrame, kinds: dict[int, int]) -> np.ndarray:
 
 def _shard_pass(shared, turn: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        machine, telling = shared.value
-        texts = [np.intersect1d(np.frombuffer(x, np.int32), telling, assume_unique=True) for x in frame["_slots"]]
-        done = train(machine, texts, frame["_label"].to_numpy(np.float32), turn)
+        texts = [np.frombuffer(x, np.int32) for x in frame["_slots"]]
+        done = train(shared.value, texts, frame["_label"].to_numpy(np.float32), turn)
         return pd.DataFrame({"n": [len(frame)], "bias": [done.bias], "weights": [done.weights.tobytes()], "vectors": [done.vectors.tobytes()]})
 
     return run
 
 
-def fit(labelled: DataFrame, text: str, label: str) -> Machine:
+def fit(labelled: DataFrame, key: str, text: str, label: str) -> Machine:
     """A machine from the rows of ``labelled`` with a label of 0 or 1; all others are left out.
 
     ``bounded_labels`` keeps their number within bounds. Unless both labels occur, the machine
     scores by its starting bias.
     """
     prepare_workers(labelled.sparkSession)
-    rows = labelled.select(F.col(text).alias("_text"), F.col(label).cast("int").alias("_label")).filter("_label in (0, 1)")
+    # Shards by key: equal texts must not meet in one.
+    shard = F.pmod(F.xxhash64(F.col(key), F.lit(13)), F.lit(SHARDS)).cast("int")
+    rows = labelled.select(F.col(text).alias("_text"), F.col(label).cast("int").alias("_label"), shard.alias("_shard")).filter("_label in (0, 1)")
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = term_cache()
         for frame in frames:
-            yield pd.DataFrame({
-                "_slots": [terms(plain(x), cache).tobytes() for x in frame["_text"]], "_label": frame["_label"],
-                "_shard": [zlib.crc32(plain(x).encode()) % SHARDS for x in frame["_text"]],
-            })
+            yield frame.drop(columns="_text").assign(_slots=[terms(plain(x), cache).tobytes() for x in frame["_text"]])
 
-    table = staged(rows.mapInPandas(hashed, "_slots binary, _label int, _shard int").repartition(SHARDS, "_shard"), "toxic-terms")
+    kind = "_label int, _shard int, _slots binary"
+    table = staged(rows.mapInPandas(hashed, kind), "toxic-terms")
     kinds = {r["_label"]: r["n"] for r in table.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     machine = Machine.fresh()
     if len(kinds) < 2:
         return machine
     telling = telling_slots(table, kinds)
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(_slots=[np.intersect1d(np.frombuffer(x, np.int32), telling, assume_unique=True).tobytes() for x in frame["_slots"]])
+
+    # Every round deals these out to the shards again, so they hold what is learnt from and no more.
+    table = staged(table.mapInPandas(told, kind), "telling-terms")
     silent = np.ones(SLOTS, bool)
     silent[telling] = False
     machine.vectors[silent] = 0
     for turn in range(ROUNDS):
-        shared = labelled.sparkSession.sparkContext.broadcast((machine, telling))
+        shared = labelled.sparkSession.sparkContext.broadcast(machine)
 
         parts = table.groupBy("_shard").applyInPandas(_shard_pass(shared, turn), "n bigint, bias double, weights binary, vectors binary").collect()
         share = np.array([p["n"] for p in parts], float)
@@ -235,4 +241,4 @@ def fit_machine(documents: DataFrame, labels: DataFrame, key: str, text: str, la
     sample = bounded_labels(labels, key, label).select(F.col(key).alias("_labelled"), F.col(label).alias("_label_in"))
     # At most about FIT_ROWS rows of a key and a number: safe to broadcast, and texts stay where they are.
     rows = documents.join(F.broadcast(sample), F.col(key) == F.col("_labelled"))
-    return fit(rows, text, "_label_in")
+    return fit(rows, "_labelled", text, "_label_in")
