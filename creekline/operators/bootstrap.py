@@ -57,13 +57,12 @@ def cluster_bootstrap(
     gains = rows.groupBy(*keys, "site").agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("n"))
     # Staged: one small row per site. Its file size lets the join below be broadcast when it fits.
     sites = staged(site_slots(gains, keys), "sites")
-    cores = rows.sparkSession.sparkContext.defaultParallelism
     blocks = -(-replicates // DRAWS_PER_HASH)
     text = F.md5(F.concat_ws(":", F.lit(seed), F.col("_block"), F.col("_place")))
     parts = F.array(*[F.substring("_hash", 8 * i + 1, 8) for i in range(DRAWS_PER_HASH)])
     # Every site row makes the draws of one slot; no row holds more than one block list.
     draws = (
-        sites.repartition(cores, *keys, "slot")
+        sites.repartition(*keys, "slot")
         .select(*keys, F.col("slot").alias("_place"), "sites", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
         .withColumn("_hash", text)
         .select(*keys, "sites", "_block", F.posexplode(parts).alias("_part", "_digits"))

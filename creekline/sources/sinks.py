@@ -29,8 +29,8 @@ def write_table(
     order: Sequence[str] = (),
     fmt: str = "parquet",
 ) -> None:
-    """Overwrite ``path``; ``order`` sorts within each file, which tightens min/max statistics."""
-    ordered = df.sortWithinPartitions(*order) if order else df
+    """Overwrite ``path``; ``order`` deals rows out by range and sorts each file, so files follow one another."""
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
     writer = ordered.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -9,7 +9,7 @@ from creekline.functions.specs import default_specs
 from creekline.operators import checks as K
 from creekline.operators import revisions as V
 from creekline.operators import sensitivity as N
-from creekline.operators.bootstrap import cluster_bootstrap
+from creekline.operators.bootstrap import REPLICATES, cluster_bootstrap
 from creekline.operators.collapse import collapse_replicates
 from creekline.operators.history import training_rows
 from creekline.sources.sinks import staged
@@ -51,10 +51,16 @@ add("d16_method_crosstab", lambda spark, sf: K.method_crosstab(good(spark, sf, "
     count({t.sql_number('Turbidity')}) as numeric_values, count(*) filter ({t.sql_number('Turbidity')}=8) as value_equal_8 from good_chemistry group by 1"""))
 add("b26_label_default", lambda spark, sf: good(spark, sf, "chemistry").select("csv_line", K.label_default(F.col("turbidity_tube_or_meter")).alias("method")), sql(
     "select csv_line, coalesce(nullif(turbidity_tube_or_meter,''), '(no method recorded)') as method from good_chemistry"))
-add("d17_timing_audit", lambda spark, sf: K.timing_audit(good(spark, sf, "bacteria")), sql(f"""
+def stamped(spark, sf):
+    parts = [good(spark, sf, s).select("source", "sample_date_time", "CreationDate") for s in ("bacteria", "chemistry")]
+    return parts[0].unionByName(parts[1])
+
+
+add("d17_timing_audit", lambda spark, sf: K.timing_audit(stamped(spark, sf)), sql(f"""
   select source, count(*) as rows, count(*) filter (hour(s)=0 and minute(s)=0) as midnight_sample_timestamps, count(distinct cast(c as date)) as creation_dates,
     median((epoch_us(c)-epoch_us(s))/86400000000::double) as median_creation_lag_days
-  from (select source, {t.sql_time('sample_date_time')} as s, {t.sql_time('CreationDate')} as c from good_bacteria) group by source""", "median_creation_lag_days"))
+  from (select source, {t.sql_time('sample_date_time')} as s, {t.sql_time('CreationDate')} as c from good_bacteria
+    union all select source, {t.sql_time('sample_date_time')}, {t.sql_time('CreationDate')} from good_chemistry) group by source""", "median_creation_lag_days"))
 
 
 def all_raw(spark, sf):
@@ -190,12 +196,12 @@ add("d20_sensitivity_scenarios", lambda spark, sf: N.sensitivity_scenarios(stage
 
 
 def gains(spark, sf):
-    return cluster_bootstrap(staged(N.scenario_gains(flagged(spark, sf)), "gains"), ["target", "scenario"], "gain", 400)
+    return cluster_bootstrap(staged(N.scenario_gains(flagged(spark, sf)), "gains"), ["target", "scenario"], "gain", REPLICATES)
 
 
 add("d21_scenario_bootstrap", gains, sql("select * from boot", "mean_gain lower_95 upper_95", extra={**FLAG, **boot_sql(
     " union all ".join(f"select target, '{n}' as scenario, site, baseline_error-error as gain from fl where {SCENARIOS[n]}"
-                       for n in ("all_test_observations", "combined_conservative_subset")), ["target", "scenario"], 400)}))
+                       for n in ("all_test_observations", "combined_conservative_subset")), ["target", "scenario"], REPLICATES)}))
 
 # C6, C8, C9, C12, G3, G4 -----------------------------------------------------------------
 

@@ -158,13 +158,13 @@ add("b20_evidence_status", lambda spark, sf: B.cluster_bootstrap(
     sql("select target, case when target='N' then 'baseline_selected' when lower_95 > 0 then 'positive_signal' else 'uncertain_signal' end as status from boot",
         extra=boot_sql(GAIN, ["target"])))
 add("b21_verdict", lambda spark, sf: B.cluster_bootstrap(
-    t.errors(spark, sf).select("target", "year", "site", (F.col("baseline_error") - F.col("error")).alias("gain")), ["target", "year"], "gain", 200)
+    t.errors(spark, sf).select("target", "year", "site", (F.col("baseline_error") - F.col("error")).alias("gain")), ["target", "year"], "gain", B.REPLICATES)
     .join(t.errors(spark, sf).groupBy("target", "year").agg(F.count(F.lit(1)).alias("n")), ["target", "year"]).select(
     "target", "year", "sites", "n", E.verdict(F.col("n"), F.col("sites"), F.col("mean_gain"), F.col("lower_95"), F.col("upper_95")).alias("verdict")), sql("""
   select target, year, sites, n, case when n < 100 or sites < 10 then 'insufficient_data' when lower_95 > 0 then 'confirmed'
     when upper_95 <= 0 or mean_gain <= 0 then 'not_confirmed' else 'inconclusive' end as verdict
   from boot join (select target, year, count(*) as n from err group by all) using (target, year)""",
-    extra=boot_sql("select target, year, site, baseline_error - error as gain from err", ["target", "year"], 200)))
+    extra=boot_sql("select target, year, site, baseline_error - error as gain from err", ["target", "year"], B.REPLICATES)))
 
 # Folds -----------------------------------------------------------------------------------
 
@@ -194,7 +194,7 @@ FOLDS = {
     "ev": f"""select target, fold, selected, 'last_observation' as selected_baseline, count(*) as test, avg(abs(y_-forecast)) as transformed_MAE,
       avg(abs(actual - {t.inv_sql('forecast')})) as source_MAE, avg(abs(y_-last_value)) as baseline_MAE from gains group by all""",
 }
-FOLDS_ALL = {**FOLDS, **boot_sql("select target, fold, site, gain from gains", ["target", "fold"], 200)}
+FOLDS_ALL = {**FOLDS, **boot_sql("select target, fold, site, gain from gains", ["target", "fold"], B.REPLICATES)}
 FOLDS_ALL["evb"] = """select ev.*, sites, mean_gain, lower_95, upper_95, coalesce(100*(baseline_MAE-transformed_MAE)/nullif(baseline_MAE,0), 0) as improvement_percent,
   'baseline_selected' as status from ev join boot using (target, fold)"""
 EV_DOUBLES = "transformed_MAE source_MAE baseline_MAE mean_gain lower_95 upper_95 improvement_percent"
@@ -215,7 +215,7 @@ def on_test(spark, sf):
 
 
 def evaluated(spark, sf):
-    return D.baseline_evaluation(staged(t.eligible_rows(spark, sf), "rows"), t.SPECS, t.FOLD_YEARS, 200)
+    return D.baseline_evaluation(staged(t.eligible_rows(spark, sf), "rows"), t.SPECS, t.FOLD_YEARS, B.REPLICATES)
 
 
 add("b23_chronological_split", lambda spark, sf: t.eligible_rows(spark, sf).select(
@@ -256,7 +256,7 @@ def d28(spark, sf):
     rows = staged(t.eligible_rows(spark, sf), "rows")
     folds = staged(D.fold_rows(rows, t.FOLD_YEARS), "folds")
     tested = D.baseline_errors(folds, D.fold_medians(folds, t.SPECS, ["train", "validation"]), "test", t.SPECS)
-    return D.results_tables(tested, D.baseline_evaluation(rows, t.SPECS, t.FOLD_YEARS, 200))
+    return D.results_tables(tested, D.baseline_evaluation(rows, t.SPECS, t.FOLD_YEARS, B.REPLICATES))
 
 
 add("d28_results_tables", d28, sql("""
@@ -271,7 +271,7 @@ add("d28_fold_pivot", lambda spark, sf: D.fold_pivot(evaluated(spark, sf), t.FOL
 def d29(spark, sf):
     rows = staged(t.eligible_rows(spark, sf), "rows")
     support = D.fold_support(D.fold_rows(rows, t.FOLD_YEARS))
-    return D.target_summary(spec_frame(spark, t.SPECS), support, D.baseline_evaluation(rows, t.SPECS, t.FOLD_YEARS, 200), "2001")
+    return D.target_summary(spec_frame(spark, t.SPECS), support, D.baseline_evaluation(rows, t.SPECS, t.FOLD_YEARS, B.REPLICATES), "2001")
 
 
 add("d29_target_summary", d29, sql("""

@@ -344,7 +344,7 @@ add("d4_target_coverage", d4, sql("""
 
 # F5, G -----------------------------------------------------------------------------------
 
-add("f5_canonical_order", lambda spark, sf: t.observations(spark, sf).repartition("target").sortWithinPartitions("site", "target", "date")
+add("f5_canonical_order", lambda spark, sf: t.observations(spark, sf).repartitionByRange("site", "target", "date").sortWithinPartitions("site", "target", "date")
     .select("site", "date", "target", "value"), sql("select site, date, target, value from obs", "value"))
 add("g1_union_tables", b8, sql(
     f"select source, csv_line, target, text as value, 'non_numeric_or_outside_configured_range' as reason from {CELLS} where bad"))

@@ -11,7 +11,7 @@ from creekline.operators import errors as E
 from creekline.operators import folds as D
 from creekline.operators import revisions as V
 from creekline.operators import scoring as G
-from creekline.operators.bootstrap import cluster_bootstrap
+from creekline.operators.bootstrap import REPLICATES, cluster_bootstrap
 from creekline.operators.history import training_rows
 from creekline.sources.sinks import staged
 from verification import tables as t
@@ -180,7 +180,7 @@ def i20(spark, sf):
         counts = gains.groupBy("target", "fold").agg(
             F.count(F.lit(1)).alias("observations"), F.avg(F.abs(F.col("_y") - F.col("_forecast"))).alias("model_MAE"),
             F.avg(F.abs(F.col("_y") - F.col("_base"))).alias("baseline_MAE"))
-        boot = cluster_bootstrap(gains, ["target", "fold"], "gain", 200)
+        boot = cluster_bootstrap(gains, ["target", "fold"], "gain", REPLICATES)
         parts.append(counts.join(boot, ["target", "fold"]))
     both = parts[0].unionByName(parts[1])
     return both.withColumn("verdict", E.verdict(F.col("observations"), F.col("sites"), F.col("mean_gain"), F.col("lower_95"), F.col("upper_95")))
@@ -190,7 +190,7 @@ FROZEN = {
     **REG,
     "fz": f"""select e.target, w as fold, site, {t_sql('actual', 'e.target')} as y, last_value as b, case when e.target='A' then seasonal_site else history_median end as f
       from elig e, (select unnest(['all_sites', 'excluding_site_conflicts']) as w) where date >= date '2001-01-01' and e.target in ('A','N') and (w='all_sites' or site not in ('3','7','11'))""",
-    **boot_sql("select target, fold, site, abs(y-b)-abs(y-f) as gain from fz", ["target", "fold"], 200),
+    **boot_sql("select target, fold, site, abs(y-b)-abs(y-f) as gain from fz", ["target", "fold"], REPLICATES),
 }
 add("i20_score_frozen", i20, sql("""
   select *, case when observations < 100 or sites < 10 then 'insufficient_data' when lower_95 > 0 then 'confirmed' when upper_95 <= 0 or mean_gain <= 0 then 'not_confirmed' else 'inconclusive' end as verdict
@@ -201,7 +201,7 @@ add("i20_score_frozen", i20, sql("""
 def i23(spark, sf):
     rows = staged(t.eligible_rows(spark, sf), "rows")
     support = D.fold_support(D.fold_rows(rows, t.FOLD_YEARS))
-    summary = D.target_summary(spec_frame(spark, t.SPECS), support, D.baseline_evaluation(rows, t.SPECS, t.FOLD_YEARS, 200), "2001")
+    summary = D.target_summary(spec_frame(spark, t.SPECS), support, D.baseline_evaluation(rows, t.SPECS, t.FOLD_YEARS, REPLICATES), "2001")
     return G.target_catalog(spec_frame(spark, t.SPECS), summary, registry(spark), limit_frame(spark, t.LIMITS))
 
 
