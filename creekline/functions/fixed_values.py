@@ -169,3 +169,6 @@ WEATHER_FEATURES = [
     "rain_1", "rain_3", "rain_7", "rain_14", "rain_30",
     "days_since_rain5", "flow_log", "flow_7_log", "flow_ratio_30",
 ]
+
+# Cell of the rolling table for a fold without enough history.
+NOT_ENOUGH = "not enough history"

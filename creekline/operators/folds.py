@@ -212,12 +212,44 @@ def fold_pivot(tested: DataFrame, years: Sequence[int]) -> DataFrame:
     return tested.groupBy("target").pivot("fold", [str(y) for y in years]).agg(F.max("improvement_percent"))
 
 
-def target_summary(spec_rows: DataFrame, support: DataFrame, tested: DataFrame, final: str) -> DataFrame:
-    """One row per target for the final fold; a target without support says so."""
+def rolling_table(tested: DataFrame, years: Sequence[int]) -> DataFrame:
+    """``fold_pivot`` as text: signed percent to one digit, and words where a fold had too little history."""
+    wide = fold_pivot(tested, years)
+    cells = [
+        F.when(F.col(str(y)).isNotNull(), F.format_string("%+.1f%%", F.col(str(y)))).otherwise(fixed.NOT_ENOUGH).alias(str(y)) for y in years
+    ]
+    return wide.select("target", *cells)
+
+
+def unsupported_targets(spec_rows: DataFrame, support: DataFrame, coverage: DataFrame, final: str) -> DataFrame:
+    """Targets without a final fold: their site-days and the forecasts that each split would have had."""
+    counts = support.filter((F.col("fold") == final)).select("target", "train", "validation", "test", "supported")
+    zero = F.lit(0).cast("bigint")
+    joined = spec_rows.select("target", "label").join(counts, "target", "left").join(
+        coverage.select("target", "valid_site_days"), "target", "left"
+    )
+    return joined.filter(~F.coalesce("supported", F.lit(False))).select(
+        "target", "label", *[F.coalesce(F.col(c), zero).alias(c) for c in ("valid_site_days", "train", "validation", "test")]
+    )
+
+
+def risk_table(spec_rows: DataFrame, risk: DataFrame, final: str) -> DataFrame:
+    """Tail events of the final fold: how many there were, were caught and were flagged in vain."""
+    return spec_rows.select("target", "label").join(risk.filter(F.col("fold") == final), "target").select(
+        "target", "label", "risk_model", "events", "caught", "false_alerts", "precision"
+    )
+
+
+def target_summary(spec_rows: DataFrame, support: DataFrame, tested: DataFrame, final: str, risk: DataFrame | None = None) -> DataFrame:
+    """One row per target for the final fold; a target without support says so.
+
+    ``risk`` (with ``risk_model``) adds the tail classifier, its recall and precision; they are
+    NULL for a target without one.
+    """
     counts = support.filter(F.col("fold") == final).select("target", "train", "validation", "test")
     results = tested.filter(F.col("fold") == final).drop("fold", "test")
     zero = F.lit(0).cast("bigint")
-    return (
+    summary = (
         spec_rows.select("target", "label")
         .join(counts, "target", "left")
         .join(results, "target", "left")
@@ -225,3 +257,9 @@ def target_summary(spec_rows: DataFrame, support: DataFrame, tested: DataFrame,
         .withColumnsRenamed({"selected": "selected_model", "selected_baseline": "baseline"})
         .withColumns({name: F.coalesce(F.col(name), zero) for name in ("train", "validation", "test")})
     )
+    if risk is None:
+        return summary
+    flags = risk.filter(F.col("fold") == final).select(
+        "target", "risk_model", F.col("recall").alias("risk_recall"), F.col("precision").alias("risk_precision")
+    )
+    return summary.join(flags, "target", "left")

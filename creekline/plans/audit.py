@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creekline.functions import fixed_values as fixed
+from creekline.functions.scalar import is_close
 from creekline.functions.specs import TargetSpec
 from creekline.operators import checks, errors, sensitivity
 from creekline.operators.bootstrap import cluster_bootstrap
@@ -35,6 +36,20 @@ def error_audit(
     }
 
 
+def assert_rederived(metrics: DataFrame, tested: DataFrame, risk: DataFrame, fold: str) -> None:
+    """Raise unless the audit's own source error and recall equal the evaluation's, for every target.
+
+    An undefined recall is NULL here and 0 there.
+    """
+    there = tested.filter(F.col("fold") == fold).select("target", F.col("source_MAE").alias("_mae")).join(
+        risk.filter(F.col("fold") == fold).select("target", F.col("recall").alias("_recall")), "target"
+    )
+    same = is_close(F.col("source_MAE"), F.col("_mae"), 1e-5, 1e-8) & is_close(F.coalesce("recall", F.lit(0.0)), F.col("_recall"), 1e-5, 1e-8)
+    wrong = metrics.join(there, "target", "left").filter(~F.coalesce(same, F.lit(False))).select("target").limit(5).collect()
+    if wrong:
+        raise ValueError(f"the evaluation cannot be derived again for {', '.join(r['target'] for r in wrong)}")
+
+
 def source_audit(good: dict[str, DataFrame], specs: Sequence[TargetSpec]) -> dict[str, DataFrame]:
     """Profiles, arithmetic checks, methods, timing and identities of the structurally good rows."""
     column = {s.target: s.column for s in specs}
