@@ -257,8 +257,8 @@ def linked_documents(df: DataFrame, key: str, text: str, shingle: int = 3, budge
 
 #: 32-bit keys of a wide fingerprint, and words of 64 bits that hold them.
 TABLES, WORDS = 8, 4
-#: Least share of equal bits, in 256, of two texts whose shingle sets are similar by 0.8 (cosine 8/9,
-#: so 0.151 of all bits differ; a standard deviation more is let pass).
+#: Most differing bits, as a share, of a link. Shingle sets that are similar by 0.8 have a cosine of 8/9,
+#: so 0.151 of their bits differ; a standard deviation more is let pass.
 DIFFERING = 0.173
 WIDE_BLOCK = 1 << 17
 

@@ -11,7 +11,6 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from creekline.llm import common, mixing, packing, personal_data, quality_rules, simhash, substring_dedup, token_counts
 
