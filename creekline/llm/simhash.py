@@ -31,7 +31,7 @@ BUDGET = 3
 BLOCK = 1 << 16
 LEAST_LEVELS, MOST_LEVELS = 6, 16
 #: Node pairs in hand at once, and pairs of leaves that are compared rather than split further.
-IN_HAND, LEAVES = 1 << 16, 64
+IN_HAND, LEAVES = 1 << 14, 64
 
 
 def fingerprint(text: str, shingle: int, seed: int = 42) -> int:
@@ -316,10 +316,14 @@ def wide_links(prints: DataFrame, budget: int = BUDGET, block: int = WIDE_BLOCK)
             order = np.argsort(key, kind="stable")
             sides.append(wide[order])
             keys.append(key[order])
-        joined = np.concatenate(sides)
+        joined, both = np.concatenate(sides), np.concatenate(keys)
 
         def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-            return np.bitwise_count(joined[x] ^ joined[y]).sum(1, dtype=np.int64) <= limit
+            # The whole fingerprints of those few pairs alone whose keys are near.
+            linked = np.bitwise_count(both[x] ^ both[y]) <= budget
+            met = np.flatnonzero(linked)
+            linked[met] = np.bitwise_count(joined[x[met]] ^ joined[y[met]]).sum(1, dtype=np.int64) <= limit
+            return linked
 
         links = trie_links(keys[0], None if a == b else keys[1], depth, (a ^ b).bit_count(), near, budget, 32)
         ends = [[_node(joined[i].tobytes()) for i in pair] for pair in links]
