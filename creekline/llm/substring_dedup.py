@@ -177,11 +177,12 @@ class Dealer:
         # A share of the sample by hash: the driver sees about SPLITTERS_FROM records, whatever there are.
         part = max(1, min(1_000_000, 1_000_000 * SPLITTERS_FROM // max(1, sample.count())))
         thin = F.pmod(F.xxhash64(*COLUMNS[:4], F.lit(8)), F.lit(1_000_000)) < F.lit(part)
-        picked = sample.filter(thin).select(*COLUMNS[:4]).toArrow()
-        keys = [picked[c].to_numpy().astype(np.int64) for c in COLUMNS[:4]]
-        order = multikey_order(keys)
+        picked = sample.filter(thin).select(*COLUMNS).toArrow()
+        keys = [picked[c].to_numpy().astype(np.int64) for c in COLUMNS]
+        order = multikey_order(keys[:4])
         at = np.unique(np.linspace(0, len(order), wanted + 1).astype(int)[1:-1])
-        split = np.unique(np.stack(keys, 1)[order[at]], axis=0) if len(order) else np.zeros((0, 4), np.int64)
+        # Splitters keep their number of windows: the bucket before reports on them too.
+        split = np.unique(np.stack(keys, 1)[order[at]], axis=0) if len(order) else np.zeros((0, 5), np.int64)
         self.size = len(split) + 1
         self.shared = spark.sparkContext.broadcast(split)
 
@@ -237,8 +238,7 @@ def sorted_neighbours(records: DataFrame, dealer: Dealer) -> DataFrame:
         a, b, doc, at, n = (x[order] for x in (a, b, doc, at, n))
         split = shared.value
         if number < len(split):  # the next bucket starts with its splitter
-            a, b, doc, at = (np.append(x, s) for x, s in zip((a, b, doc, at), split[number], strict=True))
-            n = np.append(n, 0)
+            a, b, doc, at, n = (np.append(x, s) for x, s in zip((a, b, doc, at, n), split[number], strict=True))
         lead = a[1:] == a[:-1]
         same = lead & (b[1:] == b[:-1])
         flags = np.zeros(len(a), np.int32)

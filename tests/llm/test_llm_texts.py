@@ -156,6 +156,39 @@ def test_substrings_equal_brute_force(docs, empty, texts, monkeypatch, part):
     assert substring_dedup.remove_repeats(empty, "doc_id", "text").count() == 0
 
 
+def test_splitters_keep_what_the_bucket_before_tells(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET", 10)
+    # A single one first, so that many a splitter is the second of its pair.
+    rows = [(-1, 0, 999, 0, 3)] + [(i // 2, i // 2, 1000 + i, 0, 3) for i in range(200)]
+    kind = substring_dedup.RECORD
+    table = spark.createDataFrame(rows, kind).repartition(2)
+    dealer = substring_dedup.Dealer(table, len(rows))
+    assert dealer.size == 21
+    dealt = table.mapInPandas(
+        lambda frames: (f.assign(_bucket=dealer.buckets(*(f[c].to_numpy(np.int64) for c in substring_dedup.COLUMNS[:4]))) for f in frames),
+        f"{kind}, _bucket int",
+    )
+    got = substring_dedup.sorted_neighbours(dealt, dealer).collect()
+    assert {r["_doc"] for r in got if r["_n"] == 3 and r["_flags"] & 10} == {r[2] for r in rows[1:]}
+
+
+def test_pairs_across_splitters_equal_brute_force(spark, monkeypatch):
+    draw = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+
+    def prose(n):
+        return "".join(draw.choice(letters) for _ in range(n))
+
+    passages = [prose(draw.randint(210, 500)) for _ in range(60)]
+    texts = [prose(150) + p + prose(150) for p in passages for _ in range(2)]
+    # Some share leading bytes only, so that windows are sorted too.
+    texts += [prose(60) + passages[i][:260] + prose(90) for i in range(0, 60, 3)]
+    monkeypatch.setattr(substring_dedup, "BUCKET", 60)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(rows, "doc_id", "text").collect()}
+    assert got == dict(enumerate(brute_removed(texts, 200)))
+
+
 def test_stretches_over_small_parts_hold_the_same_windows(monkeypatch):
     raw = np.frombuffer((b"abcd" * 300 + bytes(range(32, 120)) * 9), np.uint8)
     for part in (64, 1000, 1 << 20):
