@@ -43,6 +43,12 @@ class Machine:
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
+    #: Slots that it was fitted on, sorted; None: all. Texts are cut to these before they are scored, as the
+    #: scale of the vectors goes by the number of a text's slots.
+    learnt: np.ndarray | None = None
+
+    def told(self, slots: np.ndarray) -> np.ndarray:
+        return slots if self.learnt is None else np.intersect1d(slots, self.learnt, assume_unique=True)
 
     @staticmethod
     def fresh() -> Machine:
@@ -185,8 +191,10 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Machine:
     kinds = {r["_label"]: r["n"] for r in table.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     machine = Machine.fresh()
     if len(kinds) < 2:
+        machine.learnt = np.zeros(0, np.int32)
         return machine
     telling = telling_slots(table, kinds)
+    machine.learnt = telling
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -207,6 +215,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Machine:
             float(sum(s * p["bias"] for s, p in zip(share, parts, strict=True))),
             sum(np.float32(s) * np.frombuffer(p["weights"], np.float32) for s, p in zip(share, parts, strict=True)),
             sum(np.float32(s) * np.frombuffer(p["vectors"], np.float32).reshape(SLOTS, FACTORS) for s, p in zip(share, parts, strict=True)),
+            telling,
         )
         shared.unpersist()
     return machine
@@ -222,7 +231,7 @@ def with_scores(df: DataFrame, text: str, machine: Machine, score: str = "score"
     def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache = term_cache()
         for texts in batches:
-            raw = raw_scores(shared.value, [terms(plain(x), cache) for x in texts])
+            raw = raw_scores(shared.value, [shared.value.told(terms(plain(x), cache)) for x in texts])
             yield pd.Series(1 / (1 + np.exp(-np.clip(raw, -30, 30))))
 
     return df.withColumn(score, probability(F.col(text)))

@@ -103,6 +103,25 @@ def test_machine_learns_a_pair_that_no_sum_of_weights_can():
     assert ((toxicity.raw_scores(machine, texts) > 0) == (labels == 1)).mean() > 0.99
 
 
+def test_a_pair_counts_in_long_texts_as_it_was_learnt(spark):
+    draw = random.Random(21)
+    words = ["".join(draw.choice("klmnopqrst") for _ in range(7)) for _ in range(5000)]
+    # Either word alone is mostly toxic and both together never are: only a pair term can tell.
+    kinds = [(["vilexen"], 1), (["grubbish"], 1), (["vilexen", "grubbish"], 0), ([], 0), ([], 0), ([], 0)]
+    rows = []
+    for i in range(960):
+        own, toxic = kinds[i % 6]
+        text = [draw.choice(words) for _ in range(500)]
+        for word in own:
+            text.insert(draw.randrange(len(text)), word)
+        rows.append((i, " ".join(text), toxic))
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    labels = documents.filter("doc_id % 4 > 0").select("doc_id", "toxic")
+    machine = toxicity.fit_machine(documents.select("doc_id", "text"), labels, "doc_id", "text", "toxic")
+    held = toxicity.with_scores(documents.filter("doc_id % 4 = 0"), "text", machine).collect()
+    assert np.mean([(r["score"] >= 0.5) == (r["toxic"] == 1) for r in held]) > 0.97
+
+
 def test_toxicity_without_labels_scores_all(spark):
     documents = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
