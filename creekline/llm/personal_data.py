@@ -152,15 +152,19 @@ def scan(rows: DataFrame) -> DataFrame:
 
 
 def score_graph(graph: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Patterns and instances of high confidence, from distinct edges ``_like, _what, _seed``."""
+    """Patterns and instances of high confidence, from distinct edges ``_like, _what, _seed``.
+
+    A pattern is supported by instances that are sure by now, seeds or found in an earlier round alike, so
+    each round reaches one step further from the seeds.
+    """
     known = graph.groupBy("_what").agg(F.max(F.col("_seed").cast("double")).alias("_sure"))
     known = staged(known, "instances")
     for _ in range(rounds):
         judged = graph.join(known, "_what").groupBy("_like").agg(
-            F.count(F.lit(1)).alias("_n"), F.sum("_sure").alias("_held"), F.sum(F.col("_seed").cast("int")).alias("_seeds")
+            F.count(F.lit(1)).alias("_n"), F.sum("_sure").alias("_held"), F.sum((F.col("_sure") >= SURE).cast("int")).alias("_known")
         )
         # One doubtful instance more than was seen keeps small patterns modest.
-        judged = judged.filter((F.col("_seeds") >= SUPPORT)).withColumn("_p", F.col("_held") / (F.col("_n") + 1))
+        judged = judged.filter(F.col("_known") >= SUPPORT).withColumn("_p", F.col("_held") / (F.col("_n") + 1))
         patterns = staged(judged.select("_like", "_p"), "patterns")
         noisy_or = 1 - F.exp(F.sum(F.log1p(-F.least("_p", F.lit(0.999)))))
         reached = graph.join(patterns, "_like").groupBy("_what").agg(noisy_or.alias("_new"))

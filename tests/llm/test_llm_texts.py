@@ -449,6 +449,20 @@ def test_bootstrap_finds_unseen_identifiers(spark, docs, empty):
     assert personal_data.find_personal_data(empty, "doc_id", "text").count() == 0
 
 
+def test_bootstrap_learns_patterns_from_what_it_found(spark):
+    lines = [f"please write to the member contact: user{i}@mail.example.org today, about nothing" for i in range(40)]
+    known = [f"QX-{7001 + i}" for i in range(8)]
+    lines += [f"please write to the member contact: {x} today, about nothing" for x in known]
+    lines += [f"stored under the old employee no: {x} since spring" for x in known]
+    lines += ["stored under the old employee no: ZK-4410 since spring", "the parts 12345678 are gone"]
+    rows = [(i, t, "s", "k", 1) for i, t in enumerate(lines)]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.find_personal_data(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").collect()}
+    for i, x in zip(range(40, 57), [*known, *known, "ZK-4410"]):
+        start = lines[i].index(x)
+        assert got[i] == f"id:{start}:{start + 7}", lines[i]
+    assert got[57] == ""
+
+
 def test_redaction_replaces_spans_and_keeps_rows(spark):
     rows = [(1, "mail a.b@c.de now +1 (555) 555-1234 end", "s", "k", 1), (2, None, "s", "k", 1), (3, "", "s", "k", 1), (4, "clean", None, "k", 1)]
     out = {r["doc_id"]: r["text"] for r in personal_data.redact(spark.createDataFrame(rows, SCHEMA), "text").collect()}
