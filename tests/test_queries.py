@@ -25,3 +25,47 @@ def test_entry_point_lists():
     import __spark_entry__ as entry
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 100
+
+
+def test_model_queries_take_all_targets_folds_and_trees(spark, monkeypatch):
+    import inspect
+
+    from creekline.operators.models import ForestSize
+    from verification import q_models as q
+    from verification import tables as t
+
+    seen = []
+
+    def record(module, name, result):
+        shape = inspect.signature(getattr(module, name))
+
+        def call(*args, **kwargs):
+            bound = shape.bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.append((name, bound.arguments))
+            return result
+
+        monkeypatch.setattr(module, name, call)
+
+    record(q.M, "evaluate_folds", None)
+    record(q.forecasting, "train", None)
+    record(q.forecasting, "forecast", None)
+    record(q.prospective, "score_frozen", [None])
+    record(q.first_generation, "train", type("Result", (), {"predictions": None}))
+    record(q.weather_trial, "development_rows", None)
+    record(q.weather_trial, "run", [spark.range(1)])
+    for name in ("rows", "staged", "folder_digest", "weather", "v1_tables"):
+        monkeypatch.setattr(q, name, lambda *args: (None, None))
+    monkeypatch.setattr(q, "scratch_dir", lambda *args: "unused")
+    monkeypatch.setattr(t, "observations", lambda *args: None)
+    monkeypatch.setattr(t, "eligible_rows", lambda *args: None)
+    q.evaluation(spark, SF)
+    for query in (q.i11, q.i20, q.i16, q.i18):
+        query(spark, SF)
+    folds = [list(x["years"]) for name, x in seen if name in ("evaluate_folds", "train") and "years" in x]
+    assert folds == [t.FOLD_YEARS, t.FOLD_YEARS, [1999, 2000]]
+    assert all(x.get("targets") is None for _, x in seen)
+    assert [x["target"] for name, x in seen if name == "development_rows"] == q.names(t.SPECS)
+    sizes = [x["size"] for name, x in seen if name != "forecast" and "size" in x]
+    assert len(sizes) == 4 + len(t.SPECS) and all(x == ForestSize() or x == q.first_generation.V1_SIZE for x in sizes)
+    assert q.SIZE == ForestSize()
