@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creekline.llm import mixing, nearest, packing, personal_data, quality_rules, simhash, substring_dedup, token_counts, toxicity, url_filters
+from creekline.llm import (
+    filter_audit, mixing, nearest, packing, personal_data, quality_classifier, quality_rules, simhash, substring_dedup,
+    token_counts, toxicity, url_filters, whitening,
+)
 from creekline.llm.common import read_columns
 
 TOKENIZER = "word_bpe_49k.json"
@@ -73,6 +76,26 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find_personal_data(read_columns(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_columns(spark, sf_dir, "documents", ["doc_id", "text", "source"])
+    labels = read_columns(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    return filter_audit.audit_filters(documents, labels, "doc_id", "text", "source", "quality", "toxic")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_columns(spark, sf_dir, "documents", ["doc_id", "text"])
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    trusted = read_columns(spark, sf_dir, "labels", ["doc_id", "quality"]).filter((F.col("quality") == 1) & ~held)
+    scorer = quality_classifier.fit_scorer(documents, trusted, "doc_id", "text")
+    return quality_classifier.with_quality(documents, "text", scorer).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -84,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_personal_data": op10_personal_data,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_quality": op12_quality,
+    "op13_whitening": op13_whitening,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_filter_audit": filter_audit.audit_sql()}
