@@ -74,7 +74,7 @@ def score_frozen(
     assert_frozen(spark, models_path, digest)
     registry, models = load_models(spark, models_path)
     rows = training_rows(observations, specs).filter(F.col("date") >= F.lit(start).cast("date"))
-    rows = staged(apply_models(staged(rows, "new_rows"), models, names(specs)), "applied")
+    rows = staged(apply_models(rows, models, registry), "applied")
     every, scored = judge(rows, registry, specs, "all_sites", replicates)
     kept, _ = judge(exclude_sites(rows, conflict_sites), registry, specs, "excluding_site_conflicts", replicates)
     return every.unionByName(kept), scored

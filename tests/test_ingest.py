@@ -129,3 +129,36 @@ def test_three_digits(spark):
     cases = {16.0: "16", 0.25: "0.25", 320.0: "320", 1234.0: "1.23e+03", 6.5: "6.5", 0.0: "0"}
     rows = spark.createDataFrame([(k,) for k in cases], "v double")
     assert [r[0] for r in rows.select(S.three_digits(F.col("v"))).collect()] == list(cases.values())
+
+
+def test_one_export_with_quoted_breaks_is_read_by_many_tasks(spark, tmp_path):
+    """Parts of a file may begin inside a quoted cell; records and their lines come out as if it were read whole."""
+    import csv
+    import random
+
+    draw = random.Random(5)
+    notes = ["plain", "two\nlines", 'a "quoted" word', "\n\n", "x,y", '"', "", "tail\n", "ends with \r\nbreak", "é\n" * 40]
+    rows = [[f"id{i}", draw.choice(notes), str(i)] for i in range(4000)]
+    path = tmp_path / "one.csv"
+    with path.open("w", newline="") as file:
+        writer = csv.writer(file, lineterminator="\r\n")
+        writer.writerow(["globalid", "note", ""])
+        for i, row in enumerate(rows):
+            writer.writerow(row)
+            if i % 500 == 0:
+                file.write("\r\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert spark.read.option("lineSep", "\n").text(str(path)).rdd.getNumPartitions() > 20
+        got = survey.land_survey(spark, str(path), "s").select("csv_line", "globalid", "note", "_c2").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    wanted = {(i + 2, *row) for i, row in enumerate(rows)}
+    # A cell of white space alone is still text; only missing tokens become blank.
+    assert len(got) == len(rows) and {tuple(r) for r in got} == wanted
+    # The reader of whole files gives the same cells, but for breaks that it rewrites.
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path))
+    assert {tuple(r)[:2] for r in plain.select("globalid", "note").collect()} == {(r[1], r[2].replace("\r\n", "\n") or None) for r in got}

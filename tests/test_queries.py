@@ -65,7 +65,7 @@ def test_model_queries_take_all_targets_folds_and_trees(spark, monkeypatch):
     folds = [list(x["years"]) for name, x in seen if name in ("evaluate_folds", "train") and "years" in x]
     assert folds == [t.FOLD_YEARS, t.FOLD_YEARS, [1999, 2000]]
     assert all(x.get("targets") is None for _, x in seen)
-    assert [x["target"] for name, x in seen if name == "development_rows"] == q.names(t.SPECS)
+    assert [x["target"] for name, x in seen if name == "development_rows"] == [None]
     sizes = [x["size"] for name, x in seen if name != "forecast" and "size" in x]
-    assert len(sizes) == 4 + len(t.SPECS) and all(x == ForestSize() or x == q.first_generation.V1_SIZE for x in sizes)
+    assert len(sizes) == 5 and all(x == ForestSize() or x == q.first_generation.V1_SIZE for x in sizes)
     assert q.SIZE == ForestSize()

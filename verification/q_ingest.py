@@ -40,7 +40,7 @@ def a1(spark, sf):
         "watershed", F.when(F.col("watershed") == "P", "N/A").otherwise(F.col("watershed"))
     )
     path = csv_folder(spark, raw, "a1")
-    return SV.read_survey_csv(spark, path, columns=raw.columns, multiline=False).drop("_file")
+    return SV.read_survey_csv(spark, path, columns=raw.columns).drop("_file")
 
 
 add("a1_read_survey_csv", a1, sql(
@@ -48,6 +48,25 @@ add("a1_read_survey_csv", a1, sql(
 ))
 
 
+def a1_quoted(spark, sf):
+    """One export file per month; notes hold quotes, line breaks and blank lines, so a record may take several lines."""
+    raw = t.load(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_orderkey").cast("string").alias("globalid"), F.date_format("o_orderdate", "yyyyMM").alias("month"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("seen\n\nby \""), F.col("o_orderpriority"), F.lit("\",\nthen ")))
+        .when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("a \""), F.col("o_orderstatus"), F.lit("\", b"))).otherwise("none").alias("note"),
+    )
+    path = scratch_dir(spark, "a1-quoted")
+    files = raw.repartition("month").sortWithinPartitions("month", "o_orderkey").drop("o_orderkey")
+    sinks.write_table(files, path, partition_by=["month"], fmt="csv")
+    return SV.read_survey_csv(spark, path, columns=["globalid", "note"], numbered=True).drop("_file")
+
+
+add("a1_quoted_line_breaks", a1_quoted, sql("""select cast(o_orderkey as varchar) as globalid,
+  case when o_orderkey % 3 = 0 then 'seen' || chr(10) || chr(10) || 'by "' || o_orderpriority || '",' || chr(10) || 'then '
+       when o_orderkey % 3 = 1 then 'a "' || o_orderstatus || '", b' else 'none' end as note,
+  row_number() over (partition by strftime(o_orderdate, '%Y%m') order by o_orderkey) + 1 as csv_line from orders"""))
+
+
 def a2(spark, sf):
     """One export file per month of orders, each numbered on its own."""
     raw = t.load(spark, sf, "orders").select(
