@@ -12,7 +12,7 @@ import shutil
 import tempfile
 import unicodedata
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -50,6 +50,15 @@ def _send_package(_application: str) -> None:
     SparkContext.getOrCreate().addPyFile(archive)
 
 
+def shielded(df: DataFrame, work: Callable[[DataFrame, dict[str, str]], DataFrame]) -> DataFrame:
+    """``work(df, names)`` while every column has a name that no operator uses, so none can clash.
+
+    ``names`` gives the present name of a column; the result has the columns of ``df``, whose names are put back.
+    """
+    renamed = df.toDF(*[f"given_{i}" for i in range(len(df.columns))])
+    return work(renamed, dict(zip(df.columns, renamed.columns, strict=True))).toDF(*df.columns)
+
+
 def plain(value: str | None) -> str:
     """A text as given, null as the empty text."""
     return value if isinstance(value, str) else ""
@@ -60,15 +69,20 @@ WHITE_SIGNS = "[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u
 
 
 class _Cache(dict):
-    """Values by key, made on the first request; emptied to ``kept`` when full."""
+    """Values by key, made on the first request. When half of ``limit`` is full these values become the older half and
+    replace the one before, so what is asked for again stays; ``kept`` entries always do."""
 
     def __init__(self, fill: Callable, limit: int, kept: dict | None = None):
         super().__init__(kept or {})
-        self.fill, self.limit, self.kept = fill, limit + len(self), kept or {}
+        self.fill, self.kept, self.older = fill, kept or {}, {}
+        self.limit = limit // 2 + len(self)
 
     def __missing__(self, key):
-        value = self.fill(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fill(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
             self.update(self.kept)
         if len(key) <= 64:
@@ -109,6 +123,8 @@ class ChunkTokenizer:
         self.rule = re.compile(
             f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r \x85\xa0{letters}{numbers}]+"
         )
+        # The same rule where only ASCII can occur, which is searched faster.
+        self.ascii_rule = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
         self.to_bytes = self._byte_alphabet()
         self.pieces = _Cache(self._piece, 200_000)
 
@@ -120,17 +136,25 @@ class ChunkTokenizer:
         sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
 
-    def _piece(self, piece: str) -> list[int]:
-        return [token.id for token in self.model.tokenize(piece.translate(self.to_bytes))]
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(token.id for token in self.model.tokenize(piece.translate(self.to_bytes)))
 
     def encode_whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def encode_chunk(self, chunk: str) -> Sequence[int]:
         if "<|" in chunk or not is_latin(chunk):
             return self.encode_whole(chunk)
+        chunk = chunk.lower()
+        # Letters alone, and letters with one sign after them, need no search.
+        if chunk.isalpha():
+            return self.pieces[chunk]
+        word, sign = chunk[:-1], chunk[-1]
+        if word.isalpha() and not sign.isalnum():
+            return self.pieces[word] + self.pieces[sign]
+        pieces = (self.ascii_rule if chunk.isascii() else self.rule).findall(chunk)
         out: list[int] = []
-        for piece in self.rule.findall(chunk.lower()):
+        for piece in pieces:
             out += self.pieces[piece]
         return out
 
