@@ -26,6 +26,8 @@ MOST_EPOCHS = 3
 LEAST_QUALITY = 0.25
 BUCKETS = 1 << 14
 SEED = 17
+#: Parts that equal rows at a cutoff are numbered in.
+SALTS = 1 << 10
 
 
 def quality_weight(words: Column) -> Column:
@@ -75,8 +77,8 @@ def mix_plan(rows: DataFrame) -> DataFrame:
     """Per source: ``_epochs`` and the key ``_cutoff`` up to which documents are taken once more.
 
     ``rows``: ``_source, _size, _k``. A document is taken if the middle of its stretch of words lies
-    within the target, so a source misses it by half a document at most. Rows with one key
-    (equal rows) are taken or left together.
+    within the target, so a source misses it by half a document at most. Of the ``_tied`` rows with the
+    cutoff's key (equal rows) ``_most`` are taken.
     """
     # Monotone in the key; with the least quality as rate no bucket gets more than its share times 1 / LEAST_QUALITY.
     bucket = F.floor((1 - F.exp(-F.col("_k") * LEAST_QUALITY)) * BUCKETS).cast("int")
@@ -92,18 +94,48 @@ def mix_plan(rows: DataFrame) -> DataFrame:
         (F.col("_start") <= F.col("_rest")) & (F.col("_start") + F.col("_inside") >= F.col("_rest")) & (F.col("_rest") > 0)
     ).select(F.col("b._source").alias("_s"), F.col("_bucket").alias("_b"), "_start", "_rest")
     inside = keyed.join(held, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    ties = inside.groupBy("_source", "_b", "_start", "_rest", "_k").agg(F.sum("_size").alias("_n"))
-    upto = Window.partitionBy("_source", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    ends = ties.withColumn("_middle", F.col("_start") + F.sum("_n").over(upto) - F.col("_n") / 2)
+    ties = inside.groupBy("_source", "_b", "_start", "_rest", "_k").agg(F.sum("_size").alias("_n"), F.count(F.lit(1)).alias("_tied"))
+    before_it = Window.partitionBy("_source", "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_start") + F.coalesce(F.sum("_n").over(before_it), F.lit(0))
+    # Rows of one key are of one size; so many of them have their middle within the target.
+    fit = F.floor((F.col("_rest") - at) * F.col("_tied") / F.col("_n") + 0.5)
+    fit = F.when(F.col("_n") > 0, F.least(F.greatest(fit, F.lit(0)), F.col("_tied"))).otherwise(F.when(at <= F.col("_rest"), F.col("_tied")).otherwise(0))
+    ends = ties.withColumn("_most", fit)
     # The bucket's own first key is passed by when not even its middle is reached: then all before it are taken.
-    cut = ends.groupBy("_source").agg(
-        F.max(F.when(F.col("_middle") <= F.col("_rest"), F.col("_k"))).alias("_reached"), F.min("_k").alias("_least"),
-    ).select(F.col("_source").alias("_s"), F.coalesce("_reached", F.col("_least") * (1 - 1e-12)).alias("_cutoff"))
+    last = F.max(F.when(F.col("_most") > 0, F.struct("_k", "_most", "_tied")))
+    cut = ends.groupBy("_source").agg(last.alias("_last"), F.min("_k").alias("_least")).select(
+        F.col("_source").alias("_s"), F.coalesce("_last._k", F.col("_least") * (1 - 1e-12)).alias("_cutoff"), "_last._most", "_last._tied"
+    )
     return targets.join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left").select(
-        "_source", "source_size", "target", "_epochs", "_cutoff"
+        "_source", "source_size", "target", "_epochs", "_cutoff", "_most", "_tied"
     )
 
 
+def with_drawn(rows: DataFrame, plan: DataFrame, name: str, source: Column, key: Column, cutoff: Column, most: Column, tied: Column) -> DataFrame:
+    """``rows`` with ``name``: whether the row is drawn once more.
+
+    Of equal rows at a cutoff that do not all fit, as many as fit are drawn. They are told apart by where they lie, so
+    the rows of a hot key are numbered in salted parts, of which only the sizes are cumulated. ``plan`` (one row per source) says whether there are any: its last two columns
+    are ``most`` and ``tied``.
+    """
+    if plan.filter(F.col(plan.columns[-2]) < F.col(plan.columns[-1])).isEmpty():
+        return rows.withColumn(name, F.coalesce(key <= cutoff, F.lit(False)))
+    partly = F.coalesce((key == cutoff) & (most < tied), F.lit(False))
+    plain = rows.filter(~partly).withColumn(name, F.coalesce(key <= cutoff, F.lit(False)))
+    id_, part, of, rank, start = (f"{name}_{x}" for x in ("id", "part", "of", "rank", "start"))
+    # Written once: both uses below must see the same numbers.
+    equal = rows.filter(partly).withColumns({id_: F.monotonically_increasing_id(), of: source, rank: most})
+    equal = staged(equal.withColumn(part, F.pmod(F.xxhash64(id_), F.lit(SALTS))), "mix-ties")
+    before = Window.partitionBy(of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = equal.groupBy(of, part).agg(F.count(F.lit(1)).alias(start)).withColumn(start, F.coalesce(F.sum(start).over(before), F.lit(0)))
+    starts = starts.select(F.col(of).alias(f"{of}2"), F.col(part).alias(f"{part}2"), start)
+    numbered = equal.withColumn(f"{name}_n", F.row_number().over(Window.partitionBy(of, part).orderBy(id_)))
+    drawn = numbered.join(starts, F.col(of).eqNullSafe(F.col(f"{of}2")) & (F.col(part) == F.col(f"{part}2"))).withColumn(
+        name, F.col(start) + F.col(f"{name}_n") <= F.col(rank)
+    )
+    return plain.unionByName(drawn.select(*rows.columns, name))
+
+
 def _prepared(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     words = words_of(F.col("_text"))
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(source).alias("_source")).withColumn("_words", words)
@@ -120,20 +152,28 @@ def mix_sources(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """
     rows = staged(_prepared(df, key, text, source), "mix-rows")
     plan = staged(mix_plan(rows), "mix-plan").withColumnRenamed("_source", "_s")
-    drawn = F.coalesce(F.col("_k") <= F.col("_cutoff"), F.lit(False)).cast("bigint")
-    return rows.join(plan, F.col("_source").eqNullSafe(F.col("_s"))).select(
+    joined = rows.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
+    columns = [F.col(c) for c in ("_source", "_k", "_cutoff", "_most", "_tied")]
+    return with_drawn(joined, plan, "_drawn", *columns).select(
         F.col("_key").alias(key), F.col("_size").alias("size"), "source_size", "target",
-        (F.col("_size") * (F.col("_epochs") + drawn)).alias("taken"),
+        (F.col("_size") * (F.col("_epochs") + F.col("_drawn").cast("bigint"))).alias("taken"),
     )
 
 
 def mixed_documents(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it; columns as in ``df``."""
-    plan = staged(mix_plan(staged(_prepared(df, key, text, source), "mix-rows")), "mix-plan").select(
-        F.col("_source").alias("_mix_s"), F.col("_epochs").alias("_mix_e"), F.col("_cutoff").alias("_mix_c")
-    )
-    key_now = sampling_key(F.col(key), F.col(text), quality_weight(F.col("_mix_words")))
-    joined = df.join(plan, F.col(source).eqNullSafe(F.col("_mix_s"))).withColumn("_mix_words", words_of(F.col(text)))
-    times = F.col("_mix_e") + F.coalesce(key_now <= F.col("_mix_c"), F.lit(False)).cast("bigint")
+    """The rows of ``df``, each as often as the mix takes it; columns as in ``df``, whatever their names.
+
+    Nulls, ties and repeated rows are as in ``mix_sources``; an empty table gives no rows.
+    """
+    p = "_mix"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p = f"_{p}"
+    names = {"_source": f"{p}_s", "_epochs": f"{p}_e", "_cutoff": f"{p}_c", "_most": f"{p}_m", "_tied": f"{p}_t"}
+    plan = staged(mix_plan(staged(_prepared(df, key, text, source), "mix-rows")), "mix-plan").select(*[F.col(a).alias(b) for a, b in names.items()])
+    joined = df.join(plan, F.col(source).eqNullSafe(F.col(names["_source"]))).withColumn(f"{p}_w", words_of(F.col(text)))
+    joined = joined.withColumn(f"{p}_k", sampling_key(F.col(key), F.col(text), quality_weight(F.col(f"{p}_w")))).drop(f"{p}_w")
+    columns = [F.col(c) for c in (source, f"{p}_k", names["_cutoff"], names["_most"], names["_tied"])]
+    drawn = with_drawn(joined, plan, f"{p}_d", *columns)
+    times = F.col(names["_epochs"]) + F.col(f"{p}_d").cast("bigint")
     copies = F.array_repeat(F.lit(1), times.cast("int"))
-    return joined.withColumn("_mix_copy", F.explode(copies)).select(*df.columns)
+    return drawn.withColumn(f"{p}_copy", F.explode(copies)).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -11,6 +11,7 @@ large parts are dealt out in blocks.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ SAMPLE, PART, LEAST_PARTS, MOST_PARTS = 8_192, 2_000, 8, 256
 NEIGHBOURS, HIDDEN, PASSES = 10, 64, 30
 #: Share of the sample's neighbours that the probed parts must hold, and vectors of a block.
 WANTED, BLOCK = 0.98, 4_096
+#: By how much the fast product may miss a cosine.
+FAST_ERROR = 1e-9
 
 
 @dataclass
@@ -232,12 +235,12 @@ def nearest(df: DataFrame, id_: str, vector: str, is_query, k: int = 5) -> DataF
                 part = queries.iloc[at : at + 512]
                 y = np.stack([np.frombuffer(v) for v in part["_v"]])
                 near = _unit(y) @ unit.T
-                # A few more than wanted by the fast product; the exact measure orders them.
-                most = min(len(x), k + 8)
-                for i, rows in enumerate(np.argpartition(-near, most - 1, axis=1)[:, :most]):
-                    for j in rows:
-                        score = _cosine(y[i], x[j])
-                        out += [(part["_key"].iloc[i], int(v), score) for v in own["_ids"].iloc[j]]
+                # All that the fast product cannot tell from the best ones; the exact measure orders them, then the id.
+                most = min(len(x), k + 1)
+                least = -np.partition(-near, most - 1, axis=1)[:, most - 1] - FAST_ERROR
+                for i in range(len(part)):
+                    found = [(-_cosine(y[i], x[j]), int(v)) for j in np.flatnonzero(near[i] >= least[i]) for v in own["_ids"].iloc[j]]
+                    out += [(part["_key"].iloc[i], v, -score) for score, v in heapq.nsmallest(k + 1, found)]
         return pd.DataFrame(out, columns=["_key", "vec_id", "score"]).astype({"_key": "int64", "vec_id": "int64", "score": "float64"})
 
     met = routed.groupBy("_part", "_block").cogroup(placed.groupBy("_part", "_block")).applyInPandas(rerank, "_key bigint, vec_id bigint, score double")

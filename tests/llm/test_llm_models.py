@@ -165,6 +165,18 @@ def test_nearest_recall_and_odd_vectors(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_tied_vectors_come_by_their_ids(spark):
+    # All multiples of one vector by powers of two: every cosine is the same double.
+    base = np.random.default_rng(8).normal(size=16)
+    rows = [(i, (base * 2.0 ** (i % 60 - 30)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    got = nearest.nearest(df, "vec_id", "embedding", lambda x: F.pmod(x, F.lit(50)) == 0).collect()
+    found = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert found == {q: [i for i in range(6) if i != q][:5] for q in range(0, 400, 50)}
+
+
 def test_parts_are_balanced():
     draw = np.random.default_rng(6)
     unit = nearest._unit(draw.normal(size=(600, 8)))

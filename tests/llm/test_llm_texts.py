@@ -359,6 +359,28 @@ def test_mixed_documents_repeat_rows_as_planned(docs):
     assert {k: v for k, v in plan.items() if v} == {k: v for k, v in seen.items() if v}
 
 
+def test_equal_rows_at_the_cutoff_are_taken_as_far_as_they_fit(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(7, same, "a", 1)] * 400 + [(None, same, None, 2)] * 300 + [(i, f"{same} {i}", "b", 3) for i in range(200)] + [(i, "x", "c", 4) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _mix_k int").repartition(7)
+    got = mixing.mix_sources(df, "doc_id", "text", "source").collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        source = "a" if r["doc_id"] == 7 and r["size"] == 10 else None if r["doc_id"] is None else "b" if r["size"] == 11 else "c"
+        taken[source] += r["taken"]
+        target[source] = r["target"]
+        assert r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"]
+    assert len(target) == 4 and all(abs(taken[s] - target[s]) <= 6 for s in target)
+    mixed = mixing.mixed_documents(df, "doc_id", "text", "source")
+    assert mixed.columns == df.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r["source"]] += len(r["text"].split())
+        assert r["_mix_k"] == {"a": 1, None: 2, "b": 3, "c": 4}[r["source"]]
+    assert words == taken
+
+
 def test_packing_holds_every_id_once(docs, empty, texts):
     from tokenizers import Tokenizer
 
