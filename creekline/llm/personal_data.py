@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import prepare_workers, plain
+from creekline.llm.common import prepare_workers, plain, shielded
 from creekline.sources.sinks import staged
 
 #: Kinds in their order; the last is what the bootstrap finds.
@@ -215,8 +215,13 @@ def redact(df: DataFrame, text: str) -> DataFrame:
     """``df`` with every span of personal data in ``text`` replaced by its kind in angle brackets.
 
     Where spans overlap, the stretch that they cover is replaced once, by the first one's kind.
-    Null texts stay null. The number of rows, their order aside, and all other columns stay.
+    Null texts stay null, empty ones empty; long ones are read whole. The number of rows, their order aside, and all
+    other columns stay, whatever their names; repeated rows stay repeated, and an empty table gives no rows.
     """
+    return shielded(df, lambda rows, of: _redacted(rows, of[text]))
+
+
+def _redacted(df: DataFrame, text: str) -> DataFrame:
     rows = staged(df.withColumn("_row", F.monotonically_increasing_id()), "to-redact")
     scanned = staged(scan(rows.select("_row", F.col(text).alias("_text"))), "scanned")
     spans = scanned.join(found_spans(scanned), "_row", "left").filter((F.col("_base") != "") | F.col("_found").isNotNull())

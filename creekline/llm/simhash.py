@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creekline.llm.common import prepare_workers, plain
+from creekline.llm.common import prepare_workers, plain, shielded
 from creekline.llm.components import components
 from creekline.sources.sinks import staged
 
@@ -341,8 +341,13 @@ def without_near_copies(df: DataFrame, key: str, text: str, shingle: int = 5) ->
 
     Copies are linked by the share of equal bits of wide fingerprints of five-word shingles, which
     estimates a similarity of 0.8. Groups are what links reach. All null and empty texts are one group.
-    Columns are those of ``df``; of rows equal in key and text one stays.
+    Columns are those of ``df``, whatever their names; of rows equal in key and text one stays. An empty table
+    gives no rows, and long texts are read whole.
     """
+    return shielded(df, lambda rows, of: _without_near_copies(rows, of[key], of[text], shingle))
+
+
+def _without_near_copies(df: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     prepare_workers(df.sparkSession)
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = dict(rows.dtypes)["_key"]

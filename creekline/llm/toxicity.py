@@ -43,17 +43,28 @@ class Machine:
     bias: float
     weights: np.ndarray
     vectors: np.ndarray
-    #: Slots that it was fitted on, sorted; None: all. Texts are cut to these before they are scored, as the
-    #: scale of the vectors goes by the number of a text's slots.
+    #: Slots that it was fitted on, sorted, in the order of its weights; None: all. Texts are cut to these before
+    #: they are scored, as the scale of the vectors goes by the number of a text's slots.
     learnt: np.ndarray | None = None
 
     def told(self, slots: np.ndarray) -> np.ndarray:
-        return slots if self.learnt is None else np.intersect1d(slots, self.learnt, assume_unique=True)
+        """Where the machine holds those of a text's sorted slots that it was fitted on."""
+        return slots if self.learnt is None else _places(slots, self.learnt)
 
     @staticmethod
-    def fresh() -> Machine:
-        start = np.random.default_rng(11)
-        return Machine(-1.0, np.zeros(SLOTS, np.float32), start.normal(0, 0.02, (SLOTS, FACTORS)).astype(np.float32))
+    def fresh(learnt: np.ndarray | None = None) -> Machine:
+        """Starts alike for a slot whichever others are fitted; only fitted slots are held."""
+        vectors = np.random.default_rng(11).normal(0, 0.02, (SLOTS, FACTORS)).astype(np.float32)
+        vectors = vectors if learnt is None else vectors[learnt]
+        return Machine(-1.0, np.zeros(len(vectors), np.float32), vectors, learnt)
+
+
+def _places(slots: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+    if not len(learnt):
+        return slots[:0]
+    at = np.searchsorted(learnt, slots)
+    at[at == len(learnt)] = 0
+    return at[learnt[at] == slots].astype(np.int32)
 
 
 def _term_slots(chunk: str) -> tuple[int, ...]:
@@ -105,14 +116,14 @@ def raw_scores(machine: Machine, texts: list[np.ndarray]) -> np.ndarray:
 def train(machine: Machine, texts: list[np.ndarray], labels: np.ndarray, seed: int) -> Machine:
     """A few passes of AdaGrad from ``machine`` over these rows."""
     weights, vectors, bias = machine.weights.copy(), machine.vectors.copy(), machine.bias
-    moved_w, moved_v, moved_b = np.full(SLOTS, 1e-3, np.float32), np.full((SLOTS, FACTORS), 1e-3, np.float32), 1e-3
+    moved_w, moved_v, moved_b = np.full(len(weights), 1e-3, np.float32), np.full(vectors.shape, 1e-3, np.float32), 1e-3
     # Texts without any slot move the bias alone: a share of them goes with every batch.
     full = np.array([len(x) > 0 for x in texts], bool)
     rows = np.flatnonzero(full)
     bare, bare_toxic = int((~full).sum()), float(labels[~full].sum())
     if not len(rows):
         share = (float(labels.sum()) + 0.5) / (len(labels) + 1)
-        return Machine(float(np.log(share / (1 - share))), weights, vectors)
+        return Machine(float(np.log(share / (1 - share))), weights, vectors, machine.learnt)
     order = np.random.default_rng(seed)
     for _ in range(PASSES):
         order.shuffle(rows)
@@ -136,7 +147,7 @@ def train(machine: Machine, texts: list[np.ndarray], labels: np.ndarray, seed: i
             weights[seen] -= STEP * step_w / np.sqrt(moved_w[seen])
             vectors[seen] -= STEP * step_v / np.sqrt(moved_v[seen])
             bias -= STEP * step_b / moved_b**0.5
-    return Machine(bias, weights, vectors)
+    return Machine(bias, weights, vectors, machine.learnt)
 
 
 def telling_slots(table: DataFrame, kinds: dict[int, int]) -> np.ndarray:
@@ -162,10 +173,13 @@ def telling_slots(table: DataFrame, kinds: dict[int, int]) -> np.ndarray:
 
 
 def _shard_pass(shared, turn: int):
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        texts = [np.frombuffer(x, np.int32) for x in frame["_slots"]]
-        done = train(shared.value, texts, frame["_label"].to_numpy(np.float32), turn)
-        return pd.DataFrame({"n": [len(frame)], "bias": [done.bias], "weights": [done.weights.tobytes()], "vectors": [done.vectors.tobytes()]})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(frames)  # a shard: its part of about FIT_ROWS rows, cut to telling slots
+        frame = pd.concat(held) if held else pd.DataFrame({"_slots": []})
+        if len(frame):
+            texts = [np.frombuffer(x, np.int32) for x in frame["_slots"]]
+            done = train(shared.value, texts, frame["_label"].to_numpy(np.float32), turn)
+            yield pd.DataFrame({"n": [len(frame)], "bias": [done.bias], "weights": [done.weights.tobytes()], "vectors": [done.vectors.tobytes()]})
 
     return run
 
@@ -189,35 +203,30 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Machine:
     kind = "_label int, _shard int, _slots binary"
     table = staged(rows.mapInPandas(hashed, kind), "toxic-terms")
     kinds = {r["_label"]: r["n"] for r in table.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    machine = Machine.fresh()
     if len(kinds) < 2:
-        machine.learnt = np.zeros(0, np.int32)
-        return machine
+        return Machine.fresh(np.zeros(0, np.int32))
     telling = telling_slots(table, kinds)
-    machine.learnt = telling
+    # What is sent to the shards and comes back is as large as the telling slots are many.
+    machine = Machine.fresh(telling)
 
     def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(_slots=[np.intersect1d(np.frombuffer(x, np.int32), telling, assume_unique=True).tobytes() for x in frame["_slots"]])
+            yield frame.assign(_slots=[_places(np.frombuffer(x, np.int32), telling).tobytes() for x in frame["_slots"]])
 
     # Every round deals these out to the shards again, so they hold what is learnt from and no more.
-    table = staged(table.mapInPandas(told, kind), "telling-terms")
-    silent = np.ones(SLOTS, bool)
-    silent[telling] = False
-    machine.vectors[silent] = 0
+    table = staged(table.mapInPandas(told, kind), "telling-terms").repartitionById(SHARDS, "_shard")
     for turn in range(ROUNDS):
         shared = labelled.sparkSession.sparkContext.broadcast(machine)
-
-        parts = table.groupBy("_shard").applyInPandas(_shard_pass(shared, turn), "n bigint, bias double, weights binary, vectors binary").collect()
+        parts = table.mapInPandas(_shard_pass(shared, turn), "n bigint, bias double, weights binary, vectors binary").collect()
         share = np.array([p["n"] for p in parts], float)
         share /= share.sum()
         machine = Machine(
             float(sum(s * p["bias"] for s, p in zip(share, parts, strict=True))),
             sum(np.float32(s) * np.frombuffer(p["weights"], np.float32) for s, p in zip(share, parts, strict=True)),
-            sum(np.float32(s) * np.frombuffer(p["vectors"], np.float32).reshape(SLOTS, FACTORS) for s, p in zip(share, parts, strict=True)),
+            sum(np.float32(s) * np.frombuffer(p["vectors"], np.float32).reshape(-1, FACTORS) for s, p in zip(share, parts, strict=True)),
             telling,
         )
-        shared.unpersist()
+        shared.destroy()
     return machine
 
 

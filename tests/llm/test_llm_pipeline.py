@@ -64,3 +64,23 @@ def test_entry_point_has_the_queries():
 
     names = set(entry.queries())
     assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} <= {n.split("_")[0] + "_" for n in names}
+
+
+CLASHING = ["_toxicity", "toxicity", "_own_hash", "_kept_key", "_row", "_found", "_base", "_key", "_text", "_hash", "_mix_s", "_mix_w", "given_1", "n", "h"]
+
+
+def test_stages_take_clashing_columns_and_empty_tables(spark, corpus):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce("source", F.lit("none"))) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[c] == f"{c}:{'none' if r['source'] is None else r['source']}" for r in rows for c in CLASHING), name
+        nothing = stage(spark, docs.limit(0), folder)
+        assert nothing.columns == docs.columns and nothing.count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), folder).count() == 0
