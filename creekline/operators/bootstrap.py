@@ -1,14 +1,16 @@
 """Site-level bootstrap of an error gain, with draws anyone can repeat.
 
-Whole sites are resampled with replacement. A draw is a hash of (seed, replicate, slot),
-so it does not depend on partitioning, retries or a random generator's state.
+Whole sites are resampled with replacement. A draw is a hash of its place, so it does not depend on
+partitioning, retries or a random generator's state. Draws are split in two: how many of a replicate's
+draws fall into each bucket of sites, then which sites they are inside it. The second half is made where
+a bucket's sites lie, so no draw of a single site is ever shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creekline.sources.sinks import staged
@@ -16,6 +18,8 @@ from creekline.sources.sinks import staged
 REPLICATES = 1000
 SEED = 42
 DRAWS_PER_HASH = 4
+#: Sites whose sums lie side by side in one row.
+BUCKET_SITES = 1024
 
 
 def site_slots(gains: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,8 +50,42 @@ def site_slots(gains: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _hashed(rows: DataFrame, columns: Sequence, *place) -> DataFrame:
+    """``columns``, ``_part`` and ``_number``: the four whole numbers in the hash of a place."""
+    parts = F.array(*[F.substring("_hash", 8 * i + 1, 8) for i in range(DRAWS_PER_HASH)])
+    hashed = rows.withColumn("_hash", F.md5(F.concat_ws(":", *place)))
+    return hashed.select(*columns, F.posexplode(parts).alias("_part", "_digits")).withColumn(
+        "_number", F.conv("_digits", 16, 10).cast("bigint")
+    )
+
+
+def draws_per_bucket(sites: DataFrame, keys: Sequence[str], replicates: int, seed: int, bucket_sites: int) -> DataFrame:
+    """``keys, replicate, _bucket, _draws``: how many of a replicate's draws fall into each bucket.
+
+    A replicate draws as often as there are sites. Every site row makes the draws of its own slot, and tasks add up
+    their own first. A group of one bucket needs no draws for this.
+    """
+    keys = list(keys)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // DRAWS_PER_HASH) - 1)))
+    several = sites.filter(F.col("sites") > bucket_sites).select(*keys, "slot", "sites", blocks.alias("_block"))
+    drawn = _hashed(several, [*keys, "sites", "_block"], F.lit(seed), F.col("_block"), F.col("slot")).select(
+        *keys, (F.col("_block") * DRAWS_PER_HASH + F.col("_part")).alias("replicate"),
+        _bucket_of(F.pmod("_number", "sites"), bucket_sites).alias("_bucket"),
+    )
+    drawn = drawn.filter(F.col("replicate") < replicates).groupBy(*keys, "replicate", "_bucket").agg(F.count(F.lit(1)).alias("_draws"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+    one = sites.filter((F.col("sites") <= bucket_sites) & (F.col("slot") == 0)).select(
+        *keys, every, F.lit(0).cast("bigint").alias("_bucket"), F.col("sites").alias("_draws")
+    )
+    return one.unionByName(drawn)
+
+
+def _bucket_of(slot: Column, bucket_sites: int) -> Column:
+    return F.floor(slot / bucket_sites)
+
+
 def cluster_bootstrap(
-    rows: DataFrame, keys: Sequence[str], gain: str, replicates: int = REPLICATES, seed: int = SEED
+    rows: DataFrame, keys: Sequence[str], gain: str, replicates: int = REPLICATES, seed: int = SEED, bucket_sites: int = BUCKET_SITES
 ) -> DataFrame:
     """Mean gain and its 2.5..97.5 % interval per group.
 
@@ -55,26 +93,21 @@ def cluster_bootstrap(
     """
     keys = list(keys)
     gains = rows.groupBy(*keys, "site").agg(F.sum(gain).alias("gain"), F.count(F.lit(1)).alias("n"))
-    # Staged: one small row per site. Its file size lets the join below be broadcast when it fits.
+    # Staged: one small row per site.
     sites = staged(site_slots(gains, keys), "sites")
-    blocks = -(-replicates // DRAWS_PER_HASH)
-    text = F.md5(F.concat_ws(":", F.lit(seed), F.col("_block"), F.col("_place")))
-    parts = F.array(*[F.substring("_hash", 8 * i + 1, 8) for i in range(DRAWS_PER_HASH)])
-    # Every site row makes the draws of one slot; no row holds more than one block list.
-    draws = (
-        sites.repartition(*keys, "slot")
-        .select(*keys, F.col("slot").alias("_place"), "sites", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-        .withColumn("_hash", text)
-        .select(*keys, "sites", "_block", F.posexplode(parts).alias("_part", "_digits"))
-        .withColumn("replicate", F.col("_block") * DRAWS_PER_HASH + F.col("_part"))
-        .filter(F.col("replicate") < replicates)
-        .select(
-            *keys, "replicate",
-            F.pmod(F.conv("_digits", 16, 10).cast("bigint"), F.col("sites")).alias("slot"),
-        )
-    )
+    own = F.array_sort(F.collect_list(F.struct("slot", "gain", "n")))
+    buckets = sites.groupBy(*keys, _bucket_of(F.col("slot"), bucket_sites).alias("_bucket")).agg(own.alias("_own"))
+    buckets = buckets.select(*keys, "_bucket", F.col("_own.gain").alias("_gains"), F.col("_own.n").alias("_counts"))
+    # By replicate, so a group of few buckets is drawn by many tasks where Spark broadcasts the buckets.
+    counts = draws_per_bucket(sites, keys, replicates, seed, bucket_sites).repartition(*keys, "replicate")
+    last = F.floor((F.col("_draws") - 1) / DRAWS_PER_HASH)
+    blocks = counts.join(buckets, [*keys, "_bucket"]).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    place = (F.lit(seed), F.col("replicate"), F.col("_bucket"), F.col("_block"))
+    draws = _hashed(blocks, [*keys, "replicate", "_draws", "_block", "_gains", "_counts"], *place)
+    draws = draws.filter(F.col("_block") * DRAWS_PER_HASH + F.col("_part") < F.col("_draws"))
+    at = F.pmod("_number", F.size("_gains")).cast("int")
     estimates = (
-        draws.join(sites.select(*keys, "slot", "gain", "n"), [*keys, "slot"])
+        draws.select(*keys, "replicate", F.get("_gains", at).alias("gain"), F.get("_counts", at).alias("n"))
         .groupBy(*keys, "replicate")
         .agg((F.sum("gain") / F.sum("n")).alias("estimate"))
     )

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from creekline.functions import fixed_values as fixed
 from creekline.functions.scalar import day_number
+from creekline.functions.specs import TargetSpec, transform
+from creekline.operators.ranking import rank_correlation
+from creekline.sources.sinks import staged
 
 WET_DAY = 5.0
 DRY_CAP = 60
@@ -99,3 +102,19 @@ def missing_rate(rows: DataFrame, columns: Sequence[str] = tuple(fixed.WEATHER_F
     return rows.agg(
         F.count(F.lit(1)).alias("rows"), F.avg(missing.cast("int")).alias("missing_rate")
     )
+
+
+def weather_signal(rows: DataFrame, specs: Sequence[TargetSpec], inputs: Sequence[str], baseline: str = "seasonal_site") -> DataFrame:
+    """``target, input, with, samples, spearman``: each input's rank correlation with the outcome and with what the
+    baseline misses of it, all in one pass. An input that only follows the season ranks with the first alone.
+
+    The remainder is rounded to nine digits, so equal ones tie whatever the order they were summed in.
+    """
+    y = transform(specs, F.col("target"), F.col("actual"))
+    sides = F.array(
+        F.struct(F.lit("outcome").alias("with"), y.alias("_y")),
+        F.struct(F.lit("baseline_residual").alias("with"), F.round(y - F.col(baseline), 9).alias("_y")),
+    )
+    both = rows.select("target", *inputs, F.inline(sides))
+    long = both.unpivot(["target", "with", "_y"], list(inputs), "input", "_x")
+    return rank_correlation(staged(long, "signal"), ["target", "input", "with"], "_x", "_y")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from creekline.functions import fixed_values as fixed
 from creekline.functions.scalar import day_number, month_angle
 from creekline.functions.specs import TargetSpec, transform
+from creekline.operators.running_median import with_running_median
 
 SERIES = ["site", "target"]
 CORE_FEATURES = [
@@ -104,7 +105,6 @@ def history_features(
         "*",
         F.last(F.when(F.col("_v").isNotNull(), latest), ignorenulls=True).over(known).alias("_latest"),
         F.count("_v").over(known).alias("history_count"),
-        F.percentile(F.col("_v"), F.lit(0.5)).over(known).alias("history_median"),
         F.sum("_v").over(same_month).alias("_month_sum"),
         F.count("_v").over(same_month).alias("_month_count"),
     )
@@ -112,6 +112,8 @@ def history_features(
     if cross:
         rows = cross_target(rows, specs, gap, max_age)
         extra = [f"{part}_{s.target}" for s in specs for part in ("prior", "age")]
+    # Last of all, as Spark does not see that these rows stay where the windows left them.
+    rows = with_running_median(rows, SERIES, "_day", "_v", gap, "history_median")
     age = F.col("_day") - F.col("_latest._day")
     seasonal = (F.coalesce(F.col("_month_sum"), F.lit(0.0)) + 3 * F.col("history_median")) / (
         F.col("_month_count") + 3
@@ -185,8 +187,8 @@ def v1_features(
         F.last("_sample", ignorenulls=True).over(window).alias("_latest"),
         F.last("_chem", ignorenulls=True).over(window).alias("_lab"),
         F.count("_v").over(window).alias("history_count"),
-        F.percentile(F.col("_v"), F.lit(0.5)).over(window).alias("_median"),
-    ).filter("_probe")
+    )
+    rows = with_running_median(rows, ["site"], "_day", "_v", gap, "_median").filter("_probe")
     age = F.col("_day") - F.col("_latest._day")
     lab_age = F.col("_day") - F.col("_lab._day")
     fresh = lab_age <= max_age

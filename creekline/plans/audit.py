@@ -20,16 +20,25 @@ from creekline.sources.sinks import staged, write_table
 
 def error_audit(
     predictions: DataFrame, clean: DataFrame, specs: Sequence[TargetSpec], train_before: str, validation: tuple[str, str],
+    evaluated: tuple[DataFrame, DataFrame, str] | None = None,
 ) -> dict[str, DataFrame]:
-    """Verified metrics, segment tables, largest errors and missed events."""
+    """Verified metrics, segment tables, largest errors and missed events.
+
+    With ``evaluated`` (the evaluation's test table, its classification table and the fold that the predictions are
+    of) the audit raises unless it derives the same errors and recalls from the predictions.
+    """
     verify_join_1_1(predictions, clean)
     rows = staged(training_rows(clean, specs, cross=False), "rows")
     table = errors.segment_columns(errors.error_columns(predictions, specs))
     table = errors.extreme_group(table, rows, train_before)
     table = staged(errors.seen_in_fit(table, rows, train_before, validation), "errors")
+    metrics = staged(errors.error_summary(table, ["target"]), "metrics")
+    if evaluated:
+        tested, risk, fold = evaluated
+        assert_rederived(metrics.select("target", F.col("source_MAE"), "recall"), tested, risk, fold)
     return {
         "errors": table,
-        "verified_metrics": errors.error_summary(table, ["target"]),
+        "verified_metrics": metrics,
         "errors_by_segment": errors.segment_errors(table),
         "largest_errors": errors.largest_errors(table),
         "missed_events": errors.missed_events(table),

@@ -15,8 +15,8 @@ from creekline.operators.errors import verdict
 from creekline.operators.folds import test_gains
 from creekline.operators.history import training_rows
 from creekline.operators.models import apply_models, load_models
-from creekline.operators.revisions import exclude_sites
-from creekline.sources.sinks import assert_frozen, staged
+from creekline.operators.revisions import exclude_sites, revisions
+from creekline.sources.sinks import assert_frozen, staged, write_metrics_json, write_table
 
 SCOPE = ["target", "fold"]
 
@@ -78,3 +78,31 @@ def score_frozen(
     every, scored = judge(rows, registry, specs, "all_sites", replicates)
     kept, _ = judge(exclude_sites(rows, conflict_sites), registry, specs, "excluding_site_conflicts", replicates)
     return every.unionByName(kept), scored
+
+
+def protocol(old: DataFrame, new: DataFrame, digest: str, start: str, snapshot: str, frozen_snapshot: str) -> DataFrame:
+    """One row on what a run may claim: the models' digest, the dates, whether it scores dates that the models were
+    frozen with (then it only reproduces), and how the source changed before that snapshot."""
+    changes = revisions(old, new, frozen_snapshot)
+    return changes.select(
+        F.lit(digest).alias("models_sha256"), F.lit(start).cast("date").alias("start"), F.lit(snapshot).cast("date").alias("snapshot_date"),
+        (F.lit(start).cast("date") <= F.lit(frozen_snapshot).cast("date")).alias("reproduction_check_only"),
+        "unchanged", "changed", "removed", "added",
+    )
+
+
+def run(
+    spark: SparkSession, frozen: DataFrame, observations: DataFrame, specs: Sequence[TargetSpec], models_path: str, digest: str, start: str,
+    snapshot: str, frozen_snapshot: str, out: str, conflict_sites: Sequence[str] = tuple(fixed.CONFLICT_SITES), replicates: int = 1000,
+) -> tuple[DataFrame, DataFrame]:
+    """A prospective run as it is filed: verdicts, protocol with source revisions, and predictions under ``out``.
+
+    ``frozen`` are the clean measurements that the models were frozen with.
+    """
+    judged, scored = score_frozen(spark, observations, specs, models_path, digest, start, conflict_sites, replicates)
+    judged = staged(judged, "verdicts")
+    about = staged(protocol(frozen, observations, digest, start, snapshot, frozen_snapshot), "protocol")
+    write_metrics_json(judged, f"{out}/evaluation")
+    write_metrics_json(about, f"{out}/protocol")
+    write_table(scored, f"{out}/predictions", ["target"], ["site", "date"])
+    return judged, about

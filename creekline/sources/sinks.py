@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creekline.functions.scalar import finite_or_null
 from creekline.session import scratch_dir
 
+#: The longest file that Spark reads into one value.
+MOST_BYTES = (1 << 31) - 1
+
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write an intermediate table to the shared scratch folder and read it back.
@@ -52,13 +55,57 @@ def write_metrics_json(df: DataFrame, path: str) -> None:
     finite_doubles(df).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+#: Lines whose digests one node of the tree digest stands for.
+LINES_PER_NODE = 1 << 16
+
+
 def fingerprint_inputs(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Name, length and SHA-256 of every file under the paths; hashed where the file is read."""
+    """Name, length and SHA-256 of every file under the paths; hashed where the file is read.
+
+    A file is read whole for this, so ``sha256`` is NULL above the 2 GiB that a value may have; ``tree_digests``
+    has a digest for files of any size.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "path", "length",
-        F.sha2("content", 256).alias("sha256"),
+    name = F.element_at(F.split("path", "/"), -1).alias("file")
+    # The length is known from the listing, so the content of longer files is never read.
+    small = files.filter(F.col("length") <= MOST_BYTES).select(name, "path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > MOST_BYTES).select(name, "path", "length", F.lit(None).cast("string").alias("sha256"))
+    return small.unionByName(large)
+
+
+def tree_digests(spark: SparkSession, paths: Sequence[str], lines_per_node: int = LINES_PER_NODE) -> DataFrame:
+    """``path, length, lines, tree_sha256`` per file, read in parts by many tasks, whatever a file's size.
+
+    Lines (bytes up to a line feed) are hashed where they lie and numbered by sums over a file's parts. A node
+    is the digest of its children's digests in order: of ``lines_per_node`` lines first, then of as many nodes,
+    up to one, which is hashed with the file's length. So the digest depends on the bytes alone, not on how
+    a file was split. No task sees more than a part, or the children of a node.
+    """
+    path, part = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(list(paths)).select(
+        path.alias("path"), part.alias("_part"), F.col("_metadata.file_size").alias("length"),
+        F.monotonically_increasing_id().alias("_order"), F.sha2(F.col("value").cast("binary"), 256).alias("_digest"),
+    )
+    # Written once, so both uses below see the same parts.
+    lines = staged(lines, "digests")
+    before = Window.partitionBy("path").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("path", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("path", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.row_number().over(Window.partitionBy("path", "_part").orderBy("_order")) - 1
+    nodes = lines.withColumn("_place", place).join(parts, ["path", "_part"]).select(
+        "path", "length", (F.col("_offset") + F.col("_place")).alias("_at"), "_digest"
     )
+    totals = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    levels, most = 1, totals.agg(F.max("lines")).first()[0] or 0
+    while lines_per_node**levels < most:
+        levels += 1
+    for _ in range(levels):
+        children = F.array_sort(F.collect_list(F.struct("_at", "_digest")))
+        nodes = nodes.groupBy("path", "length", F.floor(F.col("_at") / lines_per_node).alias("_at")).agg(
+            F.sha2(F.array_join(F.transform(children, lambda x: x["_digest"]), ""), 256).alias("_digest")
+        )
+    root = F.sha2(F.concat_ws(":", "length", "_digest"), 256).alias("tree_sha256")
+    return nodes.join(totals, "path").select("path", "length", "lines", root)
 
 
 def folder_digest(spark: SparkSession, path: str) -> str:

@@ -44,27 +44,47 @@ def test_tail_labels(spark):
     assert label(F.lit(3.0), F.lit(7.0)) == [1, 0, 1]
 
 
-def test_bootstrap_repeats_its_hashed_draws(spark):
+def hashed(*place):
+    digits = hashlib.md5(":".join(map(str, place)).encode()).hexdigest()
+    return [int(digits[8 * i :][:8], 16) for i in range(4)]
+
+
+@pytest.mark.parametrize("bucket", [1024, 7, 3])
+def test_bootstrap_repeats_its_hashed_draws(spark, bucket):
     rng = np.random.default_rng(1)
     rows = [("t", f"s{i % 7}", float(rng.normal() + 0.3)) for i in range(90)]
     df = spark.createDataFrame(rows, "target string, site string, gain double")
-    got = B.cluster_bootstrap(df, ["target"], "gain", 50).first()
-    again = B.cluster_bootstrap(df.repartition(5), ["target"], "gain", 50).first()
+    got = B.cluster_bootstrap(df, ["target"], "gain", 50, bucket_sites=bucket).first()
+    again = B.cluster_bootstrap(df.repartition(5), ["target"], "gain", 50, bucket_sites=bucket).first()
     assert list(got)[1:] == pytest.approx(list(again)[1:])
     sites = sorted({s for _, s, _ in rows}, key=lambda s: (hashlib.md5(s.encode()).hexdigest()[:3], s))
     sums = np.array([sum(g for _, s, g in rows if s == x) for x in sites])
     counts = np.array([sum(1 for _, s, _ in rows if s == x) for x in sites])
     estimates = []
     for rep in range(50):
+        owners = [hashed(42, rep // 4, slot)[rep % 4] % 7 // bucket for slot in range(7)] if bucket < 7 else [0] * 7
         picks = []
-        for slot in range(len(sites)):
-            digits = hashlib.md5(f"42:{rep // 4}:{slot}".encode()).hexdigest()[8 * (rep % 4):][:8]
-            picks.append(int(digits, 16) % len(sites))
+        for b in range(-(-7 // bucket)):
+            size = min(bucket, 7 - b * bucket)
+            picks += [b * bucket + hashed(42, rep, b, k // 4)[k % 4] % size for k in range(owners.count(b))]
+        assert len(picks) == 7
         estimates.append(sums[picks].sum() / counts[picks].sum())
     assert got["mean_gain"] == pytest.approx(sums.sum() / counts.sum())
     assert [got["lower_95"], got["upper_95"]] == pytest.approx(list(np.quantile(estimates, [0.025, 0.975])))
 
 
+def test_bootstrap_over_buckets_spreads_like_one_over_sites(spark):
+    rng = np.random.default_rng(4)
+    rows = [("t", f"s{i}", float(g)) for i, g in enumerate(rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "target string, site string, gain double")
+    gains = np.array([g for *_, g in rows])
+    wanted = np.quantile(gains[rng.integers(0, 400, (4000, 400))].mean(1), [0.025, 0.975])
+    for bucket in (1024, 32):
+        got = B.cluster_bootstrap(df, ["target"], "gain", 1000, bucket_sites=bucket).first()
+        assert [got["lower_95"], got["upper_95"]] == pytest.approx(list(wanted), abs=0.015)
+
+
+
 def test_verdict_ladder(spark):
     cases = [(99, 10, 1.0, 0.5, 1.0, "insufficient_data"), (100, 9, 1.0, 0.5, 1.0, "insufficient_data"), (100, 10, 0.2, 0.01, 0.4, "confirmed"),
              (100, 10, 0.2, -0.01, 0.4, "inconclusive"), (100, 10, -0.1, -0.3, 0.1, "not_confirmed"), (100, 10, -0.2, -0.3, -0.1, "not_confirmed")]

@@ -121,3 +121,27 @@ def test_first_generation_features(spark, day):
     assert len(rows) == 1
     assert rows[0]["last_log_ecoli"] == pytest.approx(np.log1p(20))
     assert rows[0]["chem_ph_standard_units"] == 7 and rows[0]["chem_age_days"] == 38
+
+
+def test_running_median_equals_a_window_and_is_fast_on_a_long_series(spark):
+    import random
+    import time
+
+    import numpy as np
+
+    from creekline.operators.running_median import running_medians, with_running_median
+
+    draw = random.Random(6)
+    rows = [(s, t, d, draw.choice([None, float(draw.randint(0, 9)), draw.random()]), "x") for s in "ab" for t in "uv" for d in sorted(draw.sample(range(400), 150))]
+    rows.append(("only", "u", 5, 1.0, "x"))
+    df = spark.createDataFrame(rows, "site string, target string, day int, v double, other string").repartition(6)
+    got = {(r["site"], r["target"], r["day"]): r["m"] for r in with_running_median(df, ["site", "target"], "day", "v", 10, "m").collect()}
+    assert len(got) == len(rows)
+    for s, t, d, *_ in rows:
+        known = [v for s2, t2, d2, v, _ in rows if (s2, t2) == (s, t) and d2 <= d - 10 and v is not None]
+        assert got[s, t, d] == (float(np.median(known)) if known else None)
+    assert with_running_median(df.limit(0), ["site", "target"], "day", "v", 10, "m").count() == 0
+    median, started = running_medians(), time.perf_counter()
+    for d in range(100_000):
+        median(d - 10, d, draw.random())
+    assert time.perf_counter() - started < 20

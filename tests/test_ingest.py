@@ -162,3 +162,46 @@ def test_one_export_with_quoted_breaks_is_read_by_many_tasks(spark, tmp_path):
     # The reader of whole files gives the same cells, but for breaks that it rewrites.
     plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path))
     assert {tuple(r)[:2] for r in plain.select("globalid", "note").collect()} == {(r[1], r[2].replace("\r\n", "\n") or None) for r in got}
+
+
+def tree_of(data, fan):
+    import hashlib
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    lines = data.split(b"\n")
+    lines = lines[:-1] if lines[-1] == b"" else lines
+    return len(lines), [sha(x) for x in lines], sha
+
+
+def test_tree_digests_do_not_depend_on_the_split(spark, tmp_path):
+    import random
+
+    from creekline.sources import sinks
+
+    draw = random.Random(9)
+    files = {
+        "text": "".join(f"{draw.random()}\n" for _ in range(3000)).encode(), "binary": draw.randbytes(60_000), "one": b"no line feed",
+        "ends": b"a\nb", "ended": b"a\nb\n", "blank": b"\n\n\n",
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    found = []
+    try:
+        for size in ("4194304", "5000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            found.append({r["path"].split("/")[-1]: r for r in sinks.tree_digests(spark, [str(tmp_path)], 16).collect()})
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and set(found[0]) == set(files)
+    # Three levels of 16 hold the longest file's lines.
+    for name, data in files.items():
+        n, nodes, sha = tree_of(data, 16)
+        for _ in range(3):
+            nodes = [sha("".join(nodes[i : i + 16]).encode()) for i in range(0, len(nodes), 16)]
+        row = found[0][name]
+        assert (row["lines"], row["length"]) == (n, len(data)) and len(nodes) == 1
+        assert row["tree_sha256"] == sha(f"{len(data)}:{nodes[0]}".encode()), name
+    assert len({r["tree_sha256"] for r in found[0].values()}) == len(files)

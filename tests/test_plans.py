@@ -9,7 +9,7 @@ from creekline.functions import fixed_values as fixed
 from creekline.functions.specs import default_limits, default_specs, load_limits, load_specs
 from creekline.operators import folds
 from creekline.plans import audit, ingest
-from creekline.sources.survey import land_survey, read_observations
+from creekline.sources.survey import land_survey, read_observations, read_predictions
 
 SPECS = default_specs()
 
@@ -89,3 +89,29 @@ def test_report_tables(spark):
     audit.assert_rederived(metrics, tested, risk, "2025")
     with pytest.raises(ValueError):
         audit.assert_rederived(metrics.withColumn("recall", F.lit(0.6)), tested, risk, "2025")
+
+
+def test_error_and_sensitivity_audits_run(spark, ingested, tmp_path):
+    clean = ingested.observations
+    made = clean.select(
+        "site", "date", F.date_sub("date", 7).alias("issue_date"), F.col("value").alias("actual"), F.lit(20).alias("target_age_days"), "target",
+        (F.col("value") * 1.1).alias("predicted"), (F.col("value") * 1.2).alias("baseline_predicted"), F.lit(0.5).alias("experimental_tail_probability"),
+        (F.col("value") > 6).cast("int").alias("actual_tail_event"), (F.col("value") > 5).alias("experimental_flag"),
+    )
+    made.write.parquet(f"{tmp_path}/predictions")
+    predictions = read_predictions(spark, f"{tmp_path}/predictions")
+    tables = audit.error_audit(predictions, clean, SPECS, "2024-06-01", ("2024-06-11", "2024-07-01"))
+    audit.write_audit(tables, str(tmp_path / "audit"))
+    metrics = tables["verified_metrics"]
+    assert {r["target"] for r in metrics.collect()} == {r["target"] for r in clean.select("target").distinct().collect()}
+    tested = metrics.select("target", F.lit("2025").alias("fold"), "source_MAE")
+    risk = metrics.select("target", F.lit("2025").alias("fold"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    audit.error_audit(predictions, clean, SPECS, "2024-06-01", ("2024-06-11", "2024-07-01"), (tested, risk, "2025"))
+    with pytest.raises(ValueError, match="ph"):
+        wrong = tested.withColumn("source_MAE", F.when(F.col("target") == "ph", 9.0).otherwise(F.col("source_MAE")))
+        audit.error_audit(predictions, clean, SPECS, "2024-06-01", ("2024-06-11", "2024-07-01"), (wrong, risk, "2025"))
+    source = audit.source_audit(ingested.good, SPECS)
+    without = audit.sensitivity_audit(tables["errors"], ingested.good, source, 20)
+    audit.write_audit(without, str(tmp_path / "sensitivity"))
+    assert spark.read.parquet(f"{tmp_path}/sensitivity/observation_flags").count() == predictions.count()
+    assert spark.read.parquet(f"{tmp_path}/sensitivity/scenario_results").count() > 0

@@ -139,8 +139,13 @@ def boot_sql(rows, keys, reps=1000):
         "site_gain": f"select {k}, site, sum(gain) as gain, count(*) as n from ({rows}) group by {k}, site",
         "slots": f"""select *, row_number() over (partition by {k} order by substr(md5(site),1,3), site) - 1 as slot,
           count(*) over (partition by {k}) as g from site_gain""",
-        "draws": f"""select {k}, b*4+i as replicate, cast('0x' || substr(md5('42:' || b || ':' || slot), 8*i+1, 8) as bigint) % g as slot
-          from slots, (select unnest(range({-(-reps // 4)})) as b), (select unnest(range(4)) as i) where b*4+i < {reps}""",
+        "bucket_draws": f"""select {k}, b*4+i as replicate, (cast('0x' || substr(md5('42:' || b || ':' || slot), 8*i+1, 8) as bigint) % g) // 1024 as bucket, count(*) as c
+          from slots, (select unnest(range({-(-reps // 4)})) as b), (select unnest(range(4)) as i) where b*4+i < {reps} and g > 1024 group by all
+          union all select {k}, unnest(range({reps})) as replicate, 0 as bucket, g as c from slots where g <= 1024 and slot = 0""",
+        "blocks": f"select {k}, replicate, bucket, c, unnest(range((c+3)//4)) as blk from bucket_draws",
+        "sizes": f"select {k}, slot // 1024 as bucket, count(*) as m from slots group by all",
+        "draws": f"""select {k}, replicate, bucket*1024 + cast('0x' || substr(md5('42:' || replicate || ':' || bucket || ':' || blk), 8*i+1, 8) as bigint) % m as slot
+          from blocks join sizes using ({k}, bucket), (select unnest(range(4)) as i) where blk*4+i < c""",
         "est": f"select {dk}, replicate, sum(gain)/sum(n) as e from draws d join slots s on {on} and d.slot=s.slot group by {dk}, replicate",
         "boot": f"""select {k}, sites, mean_gain, lower_95, upper_95 from
           (select {k}, count(*) as sites, sum(gain)/sum(n) as mean_gain from site_gain group by {k})

@@ -230,5 +230,16 @@ def _spearman(x):
       from wr where {x} is not null and actual is not null) group by target"""
 
 
+def _signal_sql(x, name, y):
+    return f"""select target, '{x}' as input, '{name}' as "with", count(*) as samples, corr(rx, ry) as spearman from (
+      select target, rank() over (partition by target order by {x}) + (count(*) over (partition by target, {x}) - 1)/2::double as rx,
+        rank() over (partition by target order by y) + (count(*) over (partition by target, y) - 1)/2::double as ry
+      from (select target, {x}, {y} as y from wr where {x} is not null and {y} is not null)) group by target"""
+
+
+add("d31_weather_signal", lambda spark, sf: X.weather_signal(weather_rows(spark, sf), t.SPECS, INPUTS), sql(" union all ".join(
+    _signal_sql(x, name, y) for x in INPUTS
+    for name, y in (("outcome", t.t_sql("actual")), ("baseline_residual", f"round({t.t_sql('actual')} - seasonal_site, 9)"))
+), "spearman", extra={**WEATHER, "wr": JOINED}))
 add("d31_rank_correlation", d31, sql(" union all ".join(
     _spearman(x) for x in INPUTS), "spearman", extra={**WEATHER, "wr": JOINED}))

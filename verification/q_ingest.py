@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from creekline.functions import fixed_values as fixed
 from creekline.functions import scalar as S
-from creekline.functions.specs import default_specs, inverse, spec_frame, transform
+from creekline.functions.specs import default_specs, inverse, load_specs, spec_frame, transform
 from creekline.operators import collapse as C
 from creekline.operators import quarantine as Q
 from creekline.session import scratch_dir
@@ -101,17 +103,35 @@ OBS = "select site, date, target, value, w[2] as waterbody, replicate_rows from
 add("a4_read_observations", a4, sql(OBS, "value"))
 
 
+def json_file(spark, value, name):
+    """One JSON file in the shared scratch folder."""
+    path = scratch_dir(spark, name)
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.text(path)
+    return path
+
+
 def a5(spark, sf):
-    specs = spec_frame(spark, t.SPECS)
-    counts = t.measurements(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("rows"))
-    return specs.join(counts, "target", "left").select("target", "ord", "label", "transform", "direction", "min", "max", "rows")
+    """Specifications whose bounds come from the measurements, by way of a JSON file, and what is beyond them."""
+    found = {r["target"]: r for r in t.measurements(spark, sf).groupBy("target").agg(F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    written = {
+        s.target: {"source": s.source, "column": s.column, "label": s.label, "transform": s.transform, "direction": s.direction, "caution": s.caution,
+                   "min": found[s.target]["low"] + 2, **({"max": found[s.target]["high"] - 10} if s.target != "R" else {})}
+        for s in t.SPECS
+    }
+    specs = load_specs(spark, json_file(spark, written, "a5"))
+    joined = t.measurements(spark, sf).join(spec_frame(spark, specs), "target")
+    beyond = F.coalesce(F.col("value") > F.col("max"), F.lit(False)) | F.coalesce(F.col("value") < F.col("min"), F.lit(False))
+    return joined.groupBy("target", "ord", "label", "transform", "direction", "caution", "min", "max").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(beyond).alias("beyond")
+    )
 
 
 add("a5_spec_dimension", a5, sql("""
-  select s.*, r.rows from (values ('A',0,'Flow A','log1p','high',0::double,null::double),
-    ('N',1,'Flow N','identity','both',0::double,50::double), ('R',2,'Flow R','identity','low',0::double,null::double))
-    s(target, ord, label, transform, direction, min, max)
-  left join (select target, count(*) as rows from long group by all) r using (target)"""))
+  select s.target, s.ord, s.label, s.transform, s.direction, s.caution, min + 2 as min, case when s.target <> 'R' then max - 10 end as max, rows,
+    (select count(*) from long x where x.target = s.target and (x.value < r.min + 2 or coalesce(s.target <> 'R' and x.value > r.max - 10, false))) as beyond
+  from (values ('A',0,'Flow A','log1p','high',''), ('N',1,'Flow N','identity','both',''), ('R',2,'Flow R','identity','low','check units'))
+    s(target, ord, label, transform, direction, caution)
+  join (select target, count(*) as rows, cast(min(value) as double) as min, cast(max(value) as double) as max from long group by all) r using (target)"""))
 
 
 def a6(spark, sf):
@@ -175,13 +195,49 @@ add("a10_write_metrics_json", a10, sql(
 
 
 def a11(spark, sf):
-    names = ["lineitem", "orders", "events", "supplier"]
-    return sinks.fingerprint_inputs(spark, [f"{sf}/{n}.parquet" for n in names]).select("file", "length", "sha256")
+    """Every given table's files."""
+    return sinks.fingerprint_inputs(spark, [f"{sf}/{n}.parquet" for n in TABLES]).select("file", "length", "sha256")
 
 
+TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+    "benchmark", "labels", "conversations",
+]
 add("a11_fingerprint_inputs", a11)
 
 
+def a11_content(spark, sf):
+    """Text files, one per month of orders, by both digests; nodes of 16 lines make trees of several levels."""
+    raw = t.load(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMM").alias("month"), "o_orderstatus")
+    path = scratch_dir(spark, "a11")
+    lines = raw.repartition("month").sortWithinPartitions("month", "o_orderkey").select("month", F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value"))
+    lines.write.partitionBy("month").text(path)
+    whole = sinks.fingerprint_inputs(spark, [path])
+    tree = sinks.tree_digests(spark, [path], 16)
+    month = F.regexp_extract("path", "month=(\\d+)", 1)
+    return whole.select(month.alias("month"), "length", "sha256").join(tree.select(month.alias("month"), "lines", "tree_sha256"), "month")
+
+
+def a11_sql(levels=4, fan=16):
+    """Nodes level by level; the month with most lines says how many levels there are, as in the tree of all files."""
+    steps = {"al0": """select strftime(o_orderdate, '%Y%m') as month, o_orderkey || ',' || o_orderstatus as line,
+        row_number() over (partition by strftime(o_orderdate, '%Y%m') order by o_orderkey) - 1 as pos from orders""",
+             "an0": "select month, pos, sha256(line) as digest from al0"}
+    for i in range(1, levels + 1):
+        steps[f"an{i}"] = f"select month, pos // {fan} as pos, sha256(string_agg(digest, '' order by pos)) as digest from an{i - 1} group by month, pos // {fan}"
+    pick = " union all ".join(
+        f"select month, digest from an{i} where (select greatest(1, cast(ceil(ln(max(n)) / ln({fan}) - 1e-9) as int)) from an_size) = {i}" for i in range(1, levels + 1)
+    )
+    steps["an_size"] = "select count(*) as n from al0 group by month"
+    steps["an_root"] = pick
+    steps["an_file"] = "select month, count(*) as lines, sum(length(line) + 1) as length, sha256(string_agg(line || chr(10), '' order by pos)) as sha256 from al0 group by month"
+    return sql("""select month, cast(length as bigint) as length, sha256, lines, sha256(cast(length as bigint) || ':' || digest) as tree_sha256
+      from an_file join an_root using (month)""", extra=steps)
+
+
+add("a11_file_digests", a11_content, a11_sql())
+
+
 def a12(spark, sf):
     path = scratch_dir(spark, "a12") + "/model"
     t.measurements(spark, sf).groupBy("target").agg(F.avg("value").alias("mean")).write.parquet(path)

@@ -6,16 +6,18 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from creekline.functions.specs import limit_frame, spec_frame
+from creekline.functions.specs import limit_frame, load_limits, spec_frame, transform
 from creekline.operators import errors as E
 from creekline.operators import folds as D
 from creekline.operators import revisions as V
 from creekline.operators import scoring as G
-from creekline.operators.bootstrap import REPLICATES, cluster_bootstrap
+from creekline.operators.bootstrap import REPLICATES
 from creekline.operators.history import training_rows
+from creekline.plans import prospective
 from creekline.sources.sinks import staged
 from verification import tables as t
-from verification.q_errors import boot_sql
+from verification.q_errors import FOLDS_ALL, boot_sql
+from verification.q_ingest import json_file
 from verification.registry import add
 from verification.tables import inv_sql, sql, t_sql
 
@@ -80,9 +82,22 @@ add("b19_forecast_status", lambda spark, sf: grid(spark, sf).select("site", "tar
     else 'Visit date overlaps the data the model was trained on' end as reason from obs_f""", extra=GRID))
 add("b18_limit_check", lambda spark, sf: grid(spark, sf).select("site", "target", "predicted", "limit_level", "limit_text"),
     sql("select site, target, predicted, limit_level, limit_text from obs_l", "predicted", extra=GRID))
-add("b29_limit_margin", lambda spark, sf: G.limit_margins(t.LIMITS, registry(spark)).join(
-    t.measurements(spark, sf).groupBy("target").agg(F.count(F.lit(1)).alias("rows")), "target", "left"), sql(
-    "select target, coalesce(test_mae, 0) as margin, rows from (select target, count(*) as rows from long group by all) left join reg using (target)", "margin", extra=REG))
+def b29(spark, sf):
+    """Margins of limits read from a JSON file, and how many measurements lie past a limit or within its margin."""
+    written = {"_source": "a note", "unknown": {"max": 1}} | {
+        x.target: {"basis": x.basis, **({"min": x.min} if x.min is not None else {}), **({"max": x.max} if x.max is not None else {})} for x in t.LIMITS
+    }
+    limits = load_limits(spark, json_file(spark, written, "b29"), t.SPECS)
+    joined = t.measurements(spark, sf).join(G.limit_margins(limits, registry(spark)), "target").join(limit_frame(spark, limits), "target")
+    moved = {name: transform(t.SPECS, F.col("target"), F.col(name)) for name in ("value", "min", "max")}
+    near = (moved["value"] > moved["max"] - F.col("margin")) | (moved["value"] < moved["min"] + F.col("margin"))
+    return joined.groupBy("target", "margin").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(near, F.lit(False))).alias("near"))
+
+
+add("b29_limit_margin", b29, sql("""
+  select target, coalesce(test_mae, 0) as margin, count(*) as rows, count(*) filter (case target when 'A' then ln(1+value) > ln(31) - test_mae
+    when 'N' then value > 40 - test_mae or value < 10 + test_mae else value < 20 end) as near
+  from long left join reg using (target) group by target, coalesce(test_mae, 0)""", "margin", extra=REG))
 add("i14_predict_grid", lambda spark, sf: grid(spark, sf).select(
     "site", "target", "date", "issue_date", "status", "predicted", "experimental_tail_probability", "flag", "age_days", "selected_model", "risk_model"), sql("""
   select site, target, date, cast(date - interval 7 day as date) as issue_date, status, predicted, case when status='eligible' then prevalence end as experimental_tail_probability,
@@ -170,20 +185,13 @@ add("i22_site_history", i22, sql("""
 
 def i20(spark, sf):
     """Frozen baselines on samples from 2001 on: all sites, and without some sites."""
-    rows = staged(t.eligible_rows(spark, sf).filter("date >= '2001-01-01'"), "new_rows")
-    chosen = registry(spark).select("target", "selected", "selected_baseline", "median")
-    parts = []
-    for name, kept in (("all_sites", rows), ("excluding_site_conflicts", V.exclude_sites(rows, ["3", "7", "11"]))):
-        folded = kept.withColumns({"fold": F.lit(name), "split": F.lit("test")})
-        picked = chosen.withColumn("fold", F.lit(name))
-        gains = D.test_gains(folded, picked.drop("median"), picked.select("target", "fold", "median"), t.SPECS)
-        counts = gains.groupBy("target", "fold").agg(
-            F.count(F.lit(1)).alias("observations"), F.avg(F.abs(F.col("_y") - F.col("_forecast"))).alias("model_MAE"),
-            F.avg(F.abs(F.col("_y") - F.col("_base"))).alias("baseline_MAE"))
-        boot = cluster_bootstrap(gains, ["target", "fold"], "gain", REPLICATES)
-        parts.append(counts.join(boot, ["target", "fold"]))
-    both = parts[0].unionByName(parts[1])
-    return both.withColumn("verdict", E.verdict(F.col("observations"), F.col("sites"), F.col("mean_gain"), F.col("lower_95"), F.col("upper_95")))
+    rows = staged(t.eligible_rows(spark, sf).filter("date >= '2001-01-01'"), "new_rows").withColumn("regressed", F.lit(None).cast("double"))
+    every, scored = prospective.judge(rows, registry(spark), t.SPECS, "all_sites", REPLICATES)
+    kept, _ = prospective.judge(V.exclude_sites(rows, ["3", "7", "11"]), registry(spark), t.SPECS, "excluding_site_conflicts", REPLICATES)
+    return every.unionByName(kept).select(
+        "target", "fold", "observations", F.col("model_transformed_MAE").alias("model_MAE"), F.col("baseline_transformed_MAE").alias("baseline_MAE"),
+        "sites", "mean_gain", "lower_95", "upper_95", "verdict",
+    )
 
 
 FROZEN = {
@@ -192,12 +200,30 @@ FROZEN = {
       from elig e, (select unnest(['all_sites', 'excluding_site_conflicts']) as w) where date >= date '2001-01-01' and e.target in ('A','N') and (w='all_sites' or site not in ('3','7','11'))""",
     **boot_sql("select target, fold, site, abs(y-b)-abs(y-f) as gain from fz", ["target", "fold"], REPLICATES),
 }
+# The frozen forecasts are baselines themselves, so there is no gain to confirm.
 add("i20_score_frozen", i20, sql("""
-  select *, case when observations < 100 or sites < 10 then 'insufficient_data' when lower_95 > 0 then 'confirmed' when upper_95 <= 0 or mean_gain <= 0 then 'not_confirmed' else 'inconclusive' end as verdict
+  select *, 'frozen_model_is_baseline' as verdict
   from (select target, fold, count(*) as observations, avg(abs(y-f)) as model_MAE, avg(abs(y-b)) as baseline_MAE from fz group by all) join boot using (target, fold)""",
     "model_MAE baseline_MAE mean_gain lower_95 upper_95", extra=FROZEN))
 
 
+def i20_protocol(spark, sf):
+    """What a run may claim, where some measurements were changed, removed and added since the models were frozen."""
+    new = staged(t.observations(spark, sf), "obs")
+    site = F.col("site").cast("int")
+    old = new.filter(site % 7 != 3).withColumn("value", F.when(site % 5 == 2, F.col("value") + 1).otherwise(F.col("value")))
+    gone = new.filter(site % 11 == 4).withColumn("date", F.date_add("date", -20_000))
+    return prospective.protocol(old.unionByName(gone), new, "0" * 64, "2000-06-01", t.VISIT, "1999-12-31")
+
+
+add("i20_protocol", i20_protocol, sql("""select repeat('0', 64) as models_sha256, date '2000-06-01' as start, date '2001-11-20' as snapshot_date,
+  false as reproduction_check_only,
+  count(*) filter (date <= date '1999-12-31' and cast(site as int) % 7 <> 3 and cast(site as int) % 5 <> 2) as unchanged,
+  count(*) filter (date <= date '1999-12-31' and cast(site as int) % 7 <> 3 and cast(site as int) % 5 = 2) as changed,
+  count(*) filter (date > date '1999-12-31' and cast(site as int) % 7 <> 3) + count(*) filter (cast(site as int) % 11 = 4) as removed,
+  count(*) filter (date <= date '1999-12-31' and cast(site as int) % 7 = 3) as added from obs"""))
+
+
 def i23(spark, sf):
     rows = staged(t.eligible_rows(spark, sf), "rows")
     support = D.fold_support(D.fold_rows(rows, t.FOLD_YEARS))
@@ -205,4 +231,10 @@ def i23(spark, sf):
     return G.target_catalog(spec_frame(spark, t.SPECS), summary, registry(spark), limit_frame(spark, t.LIMITS))
 
 
-add("i23_target_catalog", i23)
+add("i23_target_catalog", i23, sql("""
+  select x.target, x.label, null::varchar as unit, x.target = 'A' as log, status, selected as selected_model, selected_baseline as baseline,
+    improvement_percent, lower_95, upper_95, sup.test, source_MAE, false as flags, '' as note, caution, limit_min, limit_max, limit_basis
+  from (values ('A', 'Flow A', '', null::double, 30::double, 'upper'), ('N', 'Flow N', '', 10::double, 40::double, 'band'),
+    ('R', 'Flow R', 'check units', 20::double, null::double, 'lower')) x(target, label, caution, limit_min, limit_max, limit_basis)
+  join (select * from evb where fold='2001') e using (target) join sup on sup.target = x.target and sup.fold='2001'""",
+    "improvement_percent lower_95 upper_95 source_MAE", extra=FOLDS_ALL))
