@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import signal
 import sys
 import time
 
@@ -60,14 +61,23 @@ def main() -> None:
     # Start the JVM's compilers and the file reader on something that is not timed.
     QUERIES["g4_distinct"](spark, sf).write.format("noop").mode("overwrite").save()
     seconds = {}
+
+    def report(*_):
+        """The one JSON line; also if the run is ended early, with what was timed so far."""
+        print(json.dumps({
+            "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
+            "queries": seconds, "sf": os.path.basename(sf.rstrip("/")), "complete": len(seconds) == len(wanted),
+        }), flush=True)
+        if _:
+            os._exit(1)
+
+    signal.signal(signal.SIGTERM, report)
     for name in wanted:
         started = time.perf_counter()
         QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - started, 3)
-    print(json.dumps({
-        "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
-        "queries": seconds, "sf": os.path.basename(sf.rstrip("/")),
-    }))
+        print(f"{seconds[name]:8.3f} s {name}", file=sys.stderr, flush=True)
+    report()
     spark.stop()
 
 

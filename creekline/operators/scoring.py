@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creekline.functions import fixed_values as fixed
-from creekline.functions.scalar import is_finite, strip
+from creekline.functions.scalar import is_finite, strip, three_digits
 from creekline.functions.specs import (
     LimitSpec, TargetSpec, choose, in_range, inverse, names, spec_value, transform,
 )
@@ -66,21 +66,16 @@ def limit_check(
     high = choose(target, {x.target: x.max for x in limits}, "double")
     low = choose(target, {x.target: x.min for x in limits}, "double")
 
-    def text(prefix: str, field: str) -> Column:
-        worded = {
-            x.target: f"{prefix} the {getattr(x, field):.3g} limit"
-            for x in limits
-            if getattr(x, field) is not None
-        }
-        return choose(target, worded, "string")
+    def text(prefix: str, bound: Column) -> Column:
+        return F.concat(F.lit(f"{prefix} the "), three_digits(bound), F.lit(" limit"))
 
     scaled = transform(specs, target, value)
     near = "within typical forecast error of"
     rules = [
-        (value > high, "red", text("above", "max")),
-        (scaled > transform(specs, target, high) - margin, "yellow", text(near, "max")),
-        (value < low, "red", text("below", "min")),
-        (scaled < transform(specs, target, low) + margin, "yellow", text(near, "min")),
+        (value > high, "red", text("above", high)),
+        (scaled > transform(specs, target, high) - margin, "yellow", text(near, high)),
+        (value < low, "red", text("below", low)),
+        (scaled < transform(specs, target, low) + margin, "yellow", text(near, low)),
     ]
     level = wording = None
     for rule, color, words in rules:
