@@ -96,6 +96,22 @@ def test_hot_group_gives_the_same_median(spark, day):
     assert got[1]["value"] == 7.5 and got[1]["waterbody"] == "v"
 
 
+def test_collapse_shuffles_once_and_large_units_agree(spark, day):
+    rows = [(f"s{i % 7}", day(f"2024-01-0{1 + i % 3}"), "ph", None if i % 11 == 0 else float(i * 37 % 101) / 4, "w", i) for i in range(900)]
+    rows += [("null", day("2024-01-01"), "ph", None, "w", 1), (None, day("2024-01-01"), "ph", 3.0, "w", 2), ("one", day("2024-01-01"), "ph", -0.0, "w", 3)]
+    df = spark.createDataFrame(rows, "site string, date date, target string, value double, waterbody string, csv_line bigint")
+    got = C.collapse_replicates(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    rows_of = sorted(got.collect())
+    assert len(rows_of) == 22 and sum(r["replicate_rows"] for r in rows_of) == 901
+    for most in (5, 42):
+        assert sorted(C.collapse_replicates(df, most=most).collect()) == rows_of
+    values = sorted(r[3] for r in rows[:900] if r[:2] == ("s0", day("2024-01-01")) and r[3] is not None)
+    n = len(values)
+    assert rows_of[1]["value"] == (values[(n - 1) // 2] + values[n // 2]) / 2
+
+
 def test_files_with_other_column_order_and_lines(spark, tmp_path):
     from creekline.operators.sensitivity import join_many_to_one
     from creekline.sources.survey import land_survey
