@@ -84,6 +84,33 @@ def test_bootstrap_over_buckets_spreads_like_one_over_sites(spark):
         assert [got["lower_95"], got["upper_95"]] == pytest.approx(list(wanted), abs=0.015)
 
 
+def test_bootstrap_keeps_draws_in_arrays(spark):
+    """Several groups share hashes; NULL gains are left out; a row per replicate and bucket leaves the tasks, none per draw."""
+    rows = [(t, y, f"s{i}", None if i % 9 == 0 else float(i % 13) - 5 + y) for t in "ab" for y in (1, 2) for i in range(40 if t == "a" else 5)]
+    df = spark.createDataFrame(rows, "target string, year int, site string, gain double")
+    got = B.cluster_bootstrap(df, ["target", "year"], "gain", 30, bucket_sites=8)
+    assert "Generate explode(sequence(0, 29" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "posexplode" not in plan
+    found = {(r["target"], r["year"]): list(r)[2:] for r in got.collect()}
+    assert len(found) == 4
+    for key in found:
+        alone = B.cluster_bootstrap(df.filter((F.col("target") == key[0]) & (F.col("year") == key[1])), ["target", "year"], "gain", 30, bucket_sites=8).first()
+        assert list(alone)[2:] == pytest.approx(found[key])
+
+
+def test_draws_are_counted_in_slices(spark):
+    sites = spark.createDataFrame([("t", i, 50) for i in range(50)], "target string, slot bigint, sites bigint")
+
+    def counts(held):
+        total = {}
+        for r in B.draws_per_bucket(sites, ["target"], 21, 42, 8, held).collect():
+            for i, n in enumerate(r["_draws"]):
+                place = (r["_bucket"], r["_from"] + i)
+                total[place] = total.get(place, 0) + n
+        return {place: n for place, n in total.items() if n}
+
+    whole = counts(1 << 20)
+    assert sum(whole.values()) == 50 * 21 and counts(60) == whole and counts(1) == whole
+
 
 def test_verdict_ladder(spark):
     cases = [(99, 10, 1.0, 0.5, 1.0, "insufficient_data"), (100, 9, 1.0, 0.5, 1.0, "insufficient_data"), (100, 10, 0.2, 0.01, 0.4, "confirmed"),
