@@ -99,3 +99,19 @@ def test_rank_correlation(spark):
 def test_most_common_takes_the_smallest_on_ties(spark):
     row = R.most_common(frame(spark, {"g": [5, 5, 2, 2, 9]}), ["g"], "v").first()
     assert (row["most_common_value"], row["most_common_count"]) == (2.0, 2)
+
+
+def test_values_are_counted_once(spark):
+    """Bands and joins read the counts; the rows that they come from are read by one job."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(200).select(F.lit("g").alias("k"), (F.col("id") % 17).cast("double").alias("v"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rows = df.mapInArrow(watched, df.schema)
+    quantile = R.exact_quantiles(rows, ["k"], "v", {"q": 0.5}).first()
+    assert quantile["q"] == 8.0 and seen.value == 200
+    assert R.recall_cutoff(rows, ["k"], "v", "y", 0.5).first()["cutoff"] > 0 and seen.value == 400
