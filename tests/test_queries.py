@@ -69,3 +69,16 @@ def test_model_queries_take_all_targets_folds_and_trees(spark, monkeypatch):
     sizes = [x["size"] for name, x in seen if name != "forecast" and "size" in x]
     assert len(sizes) == 5 and all(x == ForestSize() or x == q.first_generation.V1_SIZE for x in sizes)
     assert q.SIZE == ForestSize()
+
+
+def test_doubles_are_rounded_like_decimal_text(spark):
+    """Also where a product's last digits would decide, and without text for most numbers."""
+    from pyspark.sql import functions as F
+
+    from verification import tables
+
+    values = [0.1234565, -0.1234565, 0.0000005, -1e-9, 1e15 + 0.3, 1099511.6277765, 2.5, -7.25, float("inf"), None]
+    values += [n / 2e6 for n in range(-3001, 3001, 7)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select(tables.rounded("v", 6).alias("got"), F.round("v", 6).alias("want"))
+    assert got.filter("not got + 0.0 <=> want + 0.0").isEmpty()
