@@ -115,3 +115,20 @@ def test_values_are_counted_once(spark):
     quantile = R.exact_quantiles(rows, ["k"], "v", {"q": 0.5}).first()
     assert quantile["q"] == 8.0 and seen.value == 200
     assert R.recall_cutoff(rows, ["k"], "v", "y", 0.5).first()["cutoff"] > 0 and seen.value == 400
+
+
+def test_rank_correlation_reads_its_rows_twice(spark):
+    """Ranks of one side are summed per value of the other; pairs are not counted as a table of their own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(300).select(F.lit("g").alias("k"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    got = R.rank_correlation(df.mapInArrow(watched, df.schema), ["k"], "x", "y").first()
+    assert seen.value == 600 and got["samples"] == 300
+    x, y = np.arange(300) % 7, np.arange(300) % 11
+    ranks = [np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v]) for v in (x, y)]
+    assert got["spearman"] == pytest.approx(np.corrcoef(*ranks)[0, 1])
