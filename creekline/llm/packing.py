@@ -10,6 +10,7 @@ group is cut into sequences whose lengths are powers of two, which need no paddi
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -124,6 +125,14 @@ def _powers(pieces: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def worker_ids(path: str) -> _Cache:
+    """A chunk's ids as little-endian bytes, remembered from one task of a worker to the next."""
+    tokenizer = worker_tokenizer(path)
+    encode = tokenizer.encode_chunk if tokenizer.isolates else tokenizer.encode_whole
+    return _Cache(lambda chunk: np.array(encode(chunk), "<u4").tobytes(), REMEMBERED)
+
+
 def pack_documents(
     df: DataFrame, key: str, text: str, path: str, capacity: int = 2048, end_id: int = 1, group_rows: int = GROUP_ROWS
 ) -> DataFrame:
@@ -145,10 +154,8 @@ def pack_documents(
     sorted_ = dealt.repartition(F.col("_group")).sortWithinPartitions("_group", "_hash")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = worker_tokenizer(path)
-        encode = tokenizer.encode_chunk if tokenizer.isolates else tokenizer.encode_whole
+        tokenizer, cache = worker_tokenizer(path), worker_ids(path)
         end = end_id.to_bytes(4, "little")
-        cache = _Cache(lambda chunk: np.array(encode(chunk), "<u4").tobytes(), REMEMBERED)
         at, part, keys, ids = None, 0, [], []
 
         def packed() -> pd.DataFrame:

@@ -498,3 +498,17 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 130)) and got[201] == 200
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_packing_remembers_ids_from_task_to_task():
+    import numpy as np
+    import public_tokenizers
+
+    from creekline.llm import packing
+    from creekline.llm.common import worker_tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = packing.worker_ids(path)["water"]
+    assert np.frombuffer(found, "<u4").tolist() == worker_tokenizer(path).encode_whole("water")
+    # A later task of the worker asks the same memory.
+    assert dict.get(packing.worker_ids(path), "water") == found
