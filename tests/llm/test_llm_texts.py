@@ -501,9 +501,6 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_packing_remembers_ids_from_task_to_task():
-    import numpy as np
-    import public_tokenizers
-
     from creekline.llm import packing
     from creekline.llm.common import worker_tokenizer
 

@@ -132,3 +132,11 @@ def test_rank_correlation_reads_its_rows_twice(spark):
     x, y = np.arange(300) % 7, np.arange(300) % 11
     ranks = [np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v]) for v in (x, y)]
     assert got["spearman"] == pytest.approx(np.corrcoef(*ranks)[0, 1])
+
+
+def test_rows_are_not_dealt_out_by_group_to_meet_their_quantiles(spark):
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("g"), F.col("id").cast("double").alias("v"))
+    joined = df.join(R.exact_quantiles(df, ["g"], "v", {"q": 0.5}), "g")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert {r["g"]: r["q"] for r in joined.select("g", "q").distinct().collect()} == {"0": 499.5, "1": 499.0, "2": 500.0}
