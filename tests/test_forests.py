@@ -127,3 +127,63 @@ def test_a_task_sums_a_tree_level_in_time():
     # Sums are exact: every input counts the same rows and the same outcomes.
     for s in sums:
         assert np.array_equal(s.sum(2), np.repeat(s.sum(2)[:, :1], width, 1)) and abs(s[0, 0].sum() / (4 * fo.BLOCK_ROWS) - 1) < 0.03
+
+
+def test_rows_go_the_same_way_by_comparisons_and_by_lookup(monkeypatch):
+    """Levels where all rows are compared with a node, and deeper ones, lead each row to its node; leaves end early."""
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 8, (5, 700)).astype(np.uint8)
+    feature, end, left = [0, 0], [255, 255], [0, 1]
+    nodes = [0, 1]
+    for _ in range(60):
+        node = nodes.pop(rng.integers(len(nodes)))
+        feature[node], end[node], left[node] = int(rng.integers(5)), int(rng.integers(7)), len(left)
+        nodes += [len(left), len(left) + 1]
+        left += [len(left), len(left) + 1]
+        feature += [0, 0]
+        end += [255, 255]
+    forest = fo.Forest(2, [np.arange(7.0)] * 5, np.array(feature), np.array(end, np.uint8), np.array(left), np.zeros(len(left)), 9)
+    weight = rng.integers(0, 3, 700).astype(np.uint8)
+    slot_of = np.where(rng.random(len(left)) < 0.5, np.arange(len(left)), -1)
+    for masked in (1, 3, 6, 9):
+        monkeypatch.setattr(fo, "MASKED", min(masked, 8))
+        for tree in range(2):
+            for steps in (0, 1, 4, 9):
+                want = forest.walk(codes, np.arange(700), tree, steps)
+                assert np.array_equal(fo.Paths(forest, tree, steps).ends(codes), want)
+                if steps and len(left) < 255:
+                    rows, slot = fo.Paths(forest, tree, steps, slot_of).slots(codes, 0, weight)
+                    kept = np.flatnonzero((slot_of[want] >= 0) & (weight > 0))
+                    assert np.array_equal(rows, kept) and np.array_equal(slot, slot_of[want[kept]])
+
+
+def test_only_one_of_two_children_is_summed(spark, rows, monkeypatch):
+    """The other's sums are the parent's without them: about half of a level's rows are counted, and the forest is the
+    one of sums over every open node."""
+    counted, inner = [], fo._level_sums
+
+    def spy(blocks, forest, level, slot_of, open_nodes, bins, seed):
+        sums = inner(blocks, forest, level, slot_of, open_nodes, bins, seed)
+        pairs = sum(map(sum, open_nodes))
+        counted.append((pairs, sum(np.frombuffer(r["sums"]).reshape(2, 4, -1)[0, 0].sum() for r in sums.collect())))
+        return sums
+
+    monkeypatch.setattr(fo, "_level_sums", spy)
+    forest = fo.fit_trees(rows.select("_features", "_y", "_draw"), 4, 2, 4, 4, 32, 12, 42)
+    # Outcome and weight of every node, found by walking all rows down once more.
+    data = rows.select("_features", "_y", "_draw").collect()
+    x, y, draw = (np.array([r[i] for r in data]) for i in range(3))
+    factors, times = fo._draws(42, 4)
+    codes = fo.binned(x, forest.edges)
+    for tree in range(4):
+        weight = times[((draw.view(np.uint64) * factors[tree]) >> np.uint64(48)).astype(np.int64)].astype(float)
+        node = forest.walk(codes, np.arange(len(y)), tree, 4)
+        for one in np.unique(node[weight > 0]):
+            mine = node == one
+            assert forest.value[one] == pytest.approx(np.average(y[mine], weights=weight[mine]), abs=1e-3)
+    assert counted[0][0] == 4 and all(n <= 0.5 * counted[0][1] for _, n in counted[1:])
+
+
+def test_inputs_with_few_bins_share_a_number():
+    assert fo.bundles([32, 2, 2, 32, 3], 256) == [[1, 2, 4], [0], [3]]
+    assert fo.bundles([32, 32, 32], 1024) == [[0, 1], [2]] and fo.bundles([300, 2], 256) == [[1], [0]]
