@@ -221,3 +221,22 @@ def test_tree_digests_do_not_depend_on_the_split(spark, tmp_path):
         assert (row["lines"], row["length"]) == (n, len(data)) and len(nodes) == 1
         assert row["tree_sha256"] == sha(f"{len(data)}:{nodes[0]}".encode()), name
     assert len({r["tree_sha256"] for r in found[0].values()}) == len(files)
+
+
+def test_fingerprints_of_files_that_one_value_cannot_hold(spark, tmp_path):
+    """Above 2 GiB there was no digest, and below a file lay whole in memory. Holes take no disk."""
+    import hashlib
+
+    from creekline.sources import sinks
+
+    long = tmp_path / "a long%20 file.bin"
+    with open(long, "wb") as file:
+        file.write(b"first")
+        file.truncate((1 << 31) + 5)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "short.bin").write_bytes(b"x")
+    found = {r["file"]: r for r in sinks.fingerprint_inputs(spark, [str(tmp_path)]).collect()}
+    assert sorted(found) == [long.name, "short.bin"]
+    with open(long, "rb") as file:
+        assert found[long.name]["sha256"] == hashlib.file_digest(file, "sha256").hexdigest()
+    assert found[long.name]["length"] == (1 << 31) + 5 and found["short.bin"]["sha256"] == hashlib.sha256(b"x").hexdigest()
